@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, warc
 from .common import table
 
 
+def op1_warc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_pareto_mix,)}
+    return {f.__name__: f for f in (op1_warc_convert, op8_pareto_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_pareto_mix": mixing.ORACLE}
+    return {"op1_warc_convert": warc.ORACLE, "op8_pareto_mix": mixing.ORACLE}
