@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, seedextend, warc
+from . import jaccard, mixing, seedextend, warc
 from .common import table
 
 
@@ -18,13 +18,17 @@ def op4_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seedextend.dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_convert, op4_seed_extend, op8_pareto_mix)}
+    return {f.__name__: f for f in (op1_warc_convert, op4_seed_extend, op7_jaccard_join, op8_pareto_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_convert": warc.ORACLE, "op4_seed_extend": seedextend.ORACLE, "op8_pareto_mix": mixing.ORACLE}
+    return {"op1_warc_convert": warc.ORACLE, "op4_seed_extend": seedextend.ORACLE, "op7_jaccard_join": jaccard.ORACLE, "op8_pareto_mix": mixing.ORACLE}
