@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, seedextend, warc
+from . import crosspoly, jaccard, mixing, seedextend, warc
 from .common import table
 
 
@@ -26,9 +26,13 @@ def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.near(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_convert, op4_seed_extend, op7_jaccard_join, op8_pareto_mix)}
+    return {f.__name__: f for f in (op1_warc_convert, op4_seed_extend, op7_jaccard_join, op8_pareto_mix, op9_cross_polytope)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_convert": warc.ORACLE, "op4_seed_extend": seedextend.ORACLE, "op7_jaccard_join": jaccard.ORACLE, "op8_pareto_mix": mixing.ORACLE}
+    return {"op1_warc_convert": warc.ORACLE, "op4_seed_extend": seedextend.ORACLE, "op7_jaccard_join": jaccard.ORACLE, "op8_pareto_mix": mixing.ORACLE, "op9_cross_polytope": crosspoly.ORACLE}
