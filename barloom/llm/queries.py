@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspoly, jaccard, mixing, seedextend, warc
+from . import crosspoly, jaccard, mixing, quality, seedextend, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_warc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seedextend.dedup(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_convert, op4_seed_extend, op7_jaccard_join, op8_pareto_mix, op9_cross_polytope)}
+    return {f.__name__: f for f in (op1_warc_convert, op3_knn_quality, op4_seed_extend, op7_jaccard_join, op8_pareto_mix, op9_cross_polytope)}
 
 
 def oracle_sql() -> dict[str, str]:
