@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspoly, jaccard, mixing, quality, seedextend, warc
+from . import crosspoly, decontam, jaccard, mixing, quality, seedextend, warc
 from .common import table
 
 
@@ -34,8 +34,12 @@ def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspoly.near(table(spark, sf_dir, "embeddings"))
 
 
+def op10_cgk_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_convert, op3_knn_quality, op4_seed_extend, op7_jaccard_join, op8_pareto_mix, op9_cross_polytope)}
+    return {f.__name__: f for f in (op1_warc_convert, op3_knn_quality, op4_seed_extend, op7_jaccard_join, op8_pareto_mix, op9_cross_polytope, op10_cgk_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
