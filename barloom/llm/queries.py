@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspoly, decontam, jaccard, mixing, quality, seedextend, warc
+from . import crosspoly, decontam, jaccard, license, mixing, packing, quality, seedextend, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_warc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_bfd_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -22,6 +26,10 @@ def op4_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seedextend.dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op10_cgk_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_convert, op3_knn_quality, op4_seed_extend, op7_jaccard_join, op8_pareto_mix, op9_cross_polytope, op10_cgk_decontaminate)}
+    return {f.__name__: f for f in (op1_warc_convert, op2_bfd_pack, op3_knn_quality, op4_seed_extend, op6_license_dice, op7_jaccard_join, op8_pareto_mix, op9_cross_polytope, op10_cgk_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
