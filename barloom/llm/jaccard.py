@@ -341,7 +341,8 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bits: int
     cut = groups.join(cuts, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     cut = cut.select("doc", "tag", "node", "component", "chunks", "chunk", F.xxhash64("component", "chunk").alias("part"))
     texts = rows.mapInArrow(tagged_texts, "doc long, text string, tag int")
-    met = common.materialise(texts.join(cut, ["doc", "tag"]).dropDuplicates(["node"]), "jaccard-met")
+    # one plan at every size: texts are dealt by document, never against a broadcast list that grows with the input
+    met = common.materialise(texts.join(cut.hint("merge"), ["doc", "tag"]), "jaccard-met")
 
     def links(of: DataFrame) -> DataFrame:
         return of.select("part", "node", "label", "text").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(groups_links(k, percent), "u long, v long")
