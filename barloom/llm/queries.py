@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspoly, decontam, jaccard, license, mixing, packing, quality, seedextend, warc
+from . import crosspoly, decontam, jaccard, license, mixing, packing, quality, seedextend, sufdedup, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seedextend.dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sufdedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_cgk_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_convert, op2_bfd_pack, op3_knn_quality, op4_seed_extend, op6_license_dice, op7_jaccard_join, op8_pareto_mix, op9_cross_polytope, op10_cgk_decontaminate)}
+    return {f.__name__: f for f in (op1_warc_convert, op2_bfd_pack, op3_knn_quality, op4_seed_extend, op5_suffix_dedup, op6_license_dice, op7_jaccard_join, op8_pareto_mix, op9_cross_polytope, op10_cgk_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
