@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from . import textscan as ts
@@ -370,6 +371,25 @@ def join(docs: DataFrame, **how) -> DataFrame:
     return classes(docs, **how).select(common.id_back("doc").alias("doc_id"), "n_shingles", common.id_back("component").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, whole, of each component's first document; documents without shingles stay. Of rows that repeat the
+    id and text of a kept one all but one go."""
+    rest = classes(docs, **how).where((F.col("component") != F.col("doc")) & (F.col("n_shingles") > 0)).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).distinct()
+    rest = common.materialise(rest, "jaccard-rest")
+    at = docs.columns.index("text")
+
+    def tagged(it):
+        for batch in it:
+            texts = batch.column(at).cast(pa.string())
+            tags = [ts.doc_tags(data, offs) for _, _, data, offs in ts.chunks(texts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(tags) if tags else np.zeros(0, np.int32), pa.int32())], names=[*batch.schema.names, "__tag"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("__tag", T.IntegerType())])
+    whole = docs.mapInArrow(tagged, schema).withColumn("__doc", common.id_key())
+    kept = whole.join(rest.hint("merge"), ["__doc", "__tag"], "left_anti")
+    return kept.dropDuplicates(["__doc", "__tag"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 ORACLE = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[p:p + 4], ' ')) AS h FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS r(p) WHERE len(w) > 0),

@@ -61,51 +61,61 @@ def pareto_order(u: Column, p: Column) -> Column:
     return F.when(p > 0, (u / (1 - u)) * ((1 - p) / p))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **targets) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken."""
-    sized = common.materialise(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")),
-        "mix-sizes",
-    )
-    per = common.materialise(source_targets(sized, **targets), "mix-targets")  # a true size lets the planner broadcast it, or not
+def _ranked(sized: DataFrame, per: DataFrame) -> DataFrame:
+    """sized rows with their source's columns, rank q and bin."""
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    drawn = (
-        sized.join(per, sized["source"].eqNullSafe(per["source"]))
-        .drop(per["source"])
-        .withColumn("whole", F.floor(expected).cast("long"))
+    joined = sized.join(per.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    return (
+        joined.withColumn("whole", F.floor(expected).cast("long"))
         .withColumn("q", pareto_order(uniform(F.col("doc_id")), expected - F.floor(expected)))
         .withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * BINS).cast("int"))
-        .withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
     )
-    bins = drawn.where("bin is not null and size > 0").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+
+
+def plan(sized: DataFrame, **targets) -> DataFrame:
+    """A row per source of (doc_id, source, size): its target and where its sample ends, as bin and (q, doc_id, size)."""
+    per = common.materialise(source_targets(sized, **targets), "mix-targets")  # a true size lets the planner broadcast it, or not
+    ranked = _ranked(sized, per).where("bin is not null and size > 0").withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
+    bins = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-    edge = common.materialise(
-        bins.where("before <= left and before + words > left").groupBy("source").agg(F.max("bin").alias("edge"), F.max_by("before", "bin").alias("before")), "mix-edges"
-    )
-    split = drawn.join(edge, drawn["source"].eqNullSafe(edge["source"]), "left").drop(edge["source"])
+    edge = bins.where("before <= left and before + words > left").groupBy("source").agg(F.max("bin").alias("edge"), F.max_by("before", "bin").alias("before"))
+    edge = common.materialise(edge.withColumnRenamed("source", "__source"), "mix-edges")
     order = Window.partitionBy("source").orderBy("q", "doc_id", "size")
-    at_edge = F.col("edge").isNotNull() & (F.col("bin") == F.col("edge")) & (F.col("size") > 0)
-    inner = (
-        split.where(at_edge)
-        .withColumn("start", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
-        .withColumn("rest", F.col("left") - F.col("start"))
-        .withColumn("more", (F.col("rest") > 0) & ((F.col("size") <= F.col("rest")) | (F.col("size") - F.col("rest") < F.col("rest"))))
-        # once a document overshoots, start exceeds the target for all that follow
-    )
-    outer = split.where(~F.coalesce(at_edge, F.lit(False))).withColumn(
-        "more", F.coalesce((F.col("size") > 0) & F.col("bin").isNotNull() & (F.col("edge").isNull() | (F.col("bin") < F.col("edge"))), F.lit(False))
-    )
-    cols = ["doc_id", "source", "size", "source_size", "target", "whole", "more"]
-    return inner.select(*cols).unionByName(outer.select(*cols)).select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        (F.col("whole") + F.col("more").cast("long")).alias("copies"),
-        ((F.col("whole") + F.col("more").cast("long")) * F.col("size")).alias("taken"),
+    at_edge = (
+        ranked.join(edge, F.col("source").eqNullSafe(F.col("__source")) & (F.col("bin") == F.col("edge")))
+        .withColumn("rest", F.col("left") - F.col("before") - F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("size"))
+        .where("rest > 0 and (size <= rest or size - rest < rest)")  # once a document overshoots, nothing is left for those that follow
     )
+    ends = at_edge.groupBy(F.col("source").alias("__at")).agg(F.max(F.struct("q", "doc_id", "size")).alias("end"))
+    out = per.join(edge, F.col("source").eqNullSafe(F.col("__source")), "left").join(ends, F.col("source").eqNullSafe(F.col("__at")), "left")
+    return common.materialise(out.select("source", "source_size", "target", "edge", "end"), "mix-plan")
+
+
+def copies(sized: DataFrame, planned: DataFrame) -> DataFrame:
+    """Rows with their number of copies, each told by its own values and its source's plan: no document is shuffled."""
+    inside = F.col("edge").isNull() | (F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & F.coalesce(F.struct("q", "doc_id", "size") <= F.col("end"), F.lit(False)))
+    more = F.coalesce((F.col("size") > 0) & F.col("q").isNotNull() & inside, F.lit(False))
+    return _ranked(sized, planned).withColumn("copies", F.col("whole") + more.cast("long"))
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"))
+
+
+def mix(docs: DataFrame, **targets) -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, copies, taken."""
+    sized = common.materialise(_sized(docs), "mix-sizes")
+    out = copies(sized, plan(sized, **targets))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def repeat(docs: DataFrame, **targets) -> DataFrame:
+    """The rows of docs, whole, each as often as the mix takes it."""
+    planned = plan(common.materialise(_sized(docs), "mix-sizes"), **targets)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"))
+    taken = copies(whole, planned).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 ORACLE = r"""
