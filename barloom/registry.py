@@ -24,8 +24,12 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import queries as _  # noqa: F401 (registers them)
+
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries as _  # noqa: F401
+
     return _SQL
