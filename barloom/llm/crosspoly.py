@@ -131,13 +131,13 @@ LINKS_ARROW = pa.schema([("node", pa.int64()), ("low", pa.int64()), ("links", pa
 def verified(cosine: float):
     """Sorted rows (part, key, side, node, n, vec, keys) to (node, smallest node it's joined with here, links found here).
 
-    side 0 and 1 are the two chunks of a pair; a group with side 0 alone is a chunk with itself."""
+    side 0 and 1 are the two chunks of a pair, 2 a chunk with itself."""
 
     def one(key, side, nodes, n, vec, keys):
         x = unit(vec)
         linked = x @ x.T >= cosine
         np.fill_diagonal(linked, False)
-        if (side == 1).any():
+        if side[0] != 2:
             linked &= side[:, None] != side[None, :]
         if not linked.any():
             return None
@@ -181,7 +181,7 @@ def near(table: DataFrame, tables: int = TABLES, hashes: int = HASHES, cosine: f
     entries = keyed.select("node", F.explode("keys").alias("key")).distinct()
     met = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     cut = entries.join(met, "key").withColumn("g", F.ceil(F.col("m") / F.lit(chunk)).cast("long")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("g")))
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda o: F.struct(F.least(o, F.col("c")).alias("i"), F.greatest(o, F.col("c")).alias("j"), (F.col("c") > o).cast("int").alias("side")))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda o: F.struct(F.least(o, F.col("c")).alias("i"), F.greatest(o, F.col("c")).alias("j"), F.when(F.col("c") == o, 2).when(F.col("c") > o, 1).otherwise(0).alias("side")))
     blocks = cut.select("node", "key", F.explode(pair).alias("p")).select("node", "key", F.xxhash64("key", "p.i", "p.j").alias("part"), F.col("p.side").alias("side"))
     full = blocks.join(classes.select("node", "n", "vec"), "node").join(keyed, "node").select("part", "key", "side", "node", "n", "vec", "keys")
     found = full.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(verified(cosine), "node long, low long, links long")
