@@ -18,6 +18,7 @@ an empty table gives an empty result; lang, source and other columns are not rea
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
@@ -139,11 +140,25 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict
     half = [known.where(F.col("label") == v).orderBy("u", "id").limit(fit_rows // 2) for v in (0, 1)]
     chosen = F.broadcast(half[0].unionByName(half[1]).select("id", "label"))  # at most fit_rows rows
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(chosen, "id").select("id", "label", "text")
-    got = sorted(((r["label"], r["counts"]) for r in texts.mapInArrow(_counted, "label int, counts binary").collect()), key=lambda r: (r[0], zlib.adler32(r[1]), bytes(r[1])))
+    # one task fits the bounded sample; the driver only gets the model
+    row = texts.mapInArrow(_counted, "label int, counts binary").repartition(1).mapInArrow(_fitted, "model binary").first()
+    return pickle.loads(row["model"]) if row else 1.0
+
+
+def _fitted(it):
+    got = [(y, bytes(c)) for batch in it for y, c in zip(batch.column("label").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+    if not got:
+        return
+    got.sort()  # the same order in every run
     y = np.array([g[0] for g in got], np.int64)
     if len(set(y.tolist())) < 2:
-        return float(y.mean()) if len(y) else 1.0
-    return fit(np.stack([np.frombuffer(zlib.decompress(g[1]), np.uint32) for g in got]).astype(np.float32), y)
+        model = float(y.mean())
+    else:
+        counts = np.empty((len(got), GRAM_TERMS + SHAPE_TERMS), np.float32)
+        for i, (_, raw) in enumerate(got):
+            counts[i] = np.frombuffer(zlib.decompress(raw), np.uint32)
+        model = fit(counts, y)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def scores(texts: pa.Array, model: dict | float) -> np.ndarray:
