@@ -202,8 +202,8 @@ def finish(length: int):
     return run
 
 
-PIECES = "part int, seed long, doc long, tag int, first int, n int, bytes binary"
-PIECES_ARROW = pa.schema([("part", pa.int32()), ("seed", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())])
+PIECES = "part int, doc long, tag int, first int, n int, bytes binary"
+PIECES_ARROW = pa.schema([("part", pa.int32()), ("doc", pa.int64()), ("tag", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())])
 
 
 def pieces(length: int, gram: int, buckets: int):
@@ -222,85 +222,115 @@ def pieces(length: int, gram: int, buckets: int):
                     text = data[offs[d] : offs[d + 1]]
                     for j in asked.tolist():
                         a = int(first[j])
-                        yield int(part[j]), int(seed[j].astype(np.int64)), ids[lo + d], tags[lo + d], a, int(n[j]), text[a : a + int(n[j]) + length - 1].tobytes()
+                        yield int(part[j]), ids[lo + d], tags[lo + d], a, int(n[j]), text[a : a + int(n[j]) + length - 1].tobytes()
 
     return lambda it: to_batches(rows(it), PIECES_ARROW)
 
 
+class Shard:
+    """The pieces of one part: heads in memory, bytes there or, beyond the scratch's limit, in its file."""
+
+    def __init__(self, files: Scratch):
+        self.files, self.path, self.heads, self.parts, self.held, self.total = files, None, [], [], 0, 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        doc, tag, first, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "tag", "first", "n"))
+        begin = np.zeros(len(doc), np.int64)
+        for i, raw in enumerate(batch.column("bytes")):
+            begin[i] = self.total
+            piece = np.zeros(len(raw.as_buffer()) + 1, np.uint16)  # ends with a 0
+            piece[:-1] = np.frombuffer(raw.as_buffer(), np.uint8)
+            piece[:-1] += 1
+            self.parts.append(piece)
+            self.total += len(piece)
+        self.heads.append(np.stack([doc, tag, first, n, begin], axis=1))
+        if self.total - self.held > self.files.held:
+            self._spill()
+
+    def _spill(self) -> None:
+        self.path = self.path or self.files.path()
+        with open(self.path, "ab") as f:
+            for piece in self.parts:
+                f.write(piece.tobytes())
+        self.parts, self.held = [], self.total
+
+    def text(self) -> np.ndarray:
+        if self.path is None:
+            return np.concatenate(self.parts)
+        self._spill()
+        return np.memmap(self.path, np.uint16, "r", shape=(self.total,))
+
+    def repeats(self, length: int) -> pa.RecordBatch | None:
+        """REPEAT spots of the strings that share their first length bytes with another one's."""
+        head = np.concatenate(self.heads)
+        order = np.lexsort((head[:, 2], head[:, 1], head[:, 0]))
+        head[order[1:][~ts.new_group(*head[order, :3].T)[1:]], 3] = 0  # the same run of a row that is there twice
+        if (head[:, 3] > 0).sum() < 2:
+            return None
+        begin, hits = head[:, 4], []
+
+        def close(at: np.ndarray, group: np.ndarray) -> None:
+            """Places in order with the number of their group: those of groups with several strings are hits."""
+            p = np.searchsorted(begin, at, "right") - 1
+            ok = at - begin[p] < head[p, 3]  # a string of the piece's own starts here
+            many = np.bincount(group[ok], minlength=int(group[-1]) + 1) > 1
+            take = ok & many[group]
+            hits.append(np.stack([p[take], (at - begin[p])[take]], axis=1))
+
+        left: list[np.ndarray] = []  # the group that the next batch may go on with
+        for at, lcp in suffix_array(self.text(), self.files):
+            cut = np.flatnonzero(lcp < length)
+            if not len(cut):
+                left.append(at)
+                continue
+            done = np.concatenate([*left, at[: cut[-1]]])
+            before = len(done) - int(cut[-1])
+            starts = np.zeros(len(done), np.int64)
+            starts[before + cut[:-1]] = 1
+            if len(done):
+                group = np.cumsum(starts)
+                some = np.bincount(group)[group] > 1
+                if some.any():
+                    close(done[some], group[some])
+            left = [at[cut[-1] :]]
+        last = np.concatenate(left)
+        close(last, np.zeros(len(last), np.int64))
+        found = np.concatenate(hits)
+        if not len(found):
+            return None
+        found = found[np.lexsort((found[:, 1], found[:, 0]))]
+        p, place = found[:, 0], found[:, 1] + head[found[:, 0], 2]
+        new = ts.new_group(p)
+        new[1:] |= place[1:] != place[:-1] + 1
+        cut = np.flatnonzero(new)
+        at = head[p[cut]]
+        return spot_batch(REPEAT, at[:, 0].copy(), at[:, 1].astype(np.int32), spots(place[cut], np.diff(np.append(cut, len(p)))))
+
+
 def sort_shards(length: int, **scratch):
-    """Pieces of one partition to REPEAT spots of single strings. Bytes are appended to the shard's file as they come."""
+    """Pieces sorted by part to REPEAT spots, a shard at a time."""
 
     def run(it):
-        with Scratch(**scratch) as files:
-            path = files.path()
-            heads: list[np.ndarray] = []
-            total = 0
-            with open(path, "wb") as f:
-                for batch in it:
-                    doc, tag, first, n, seed = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag", "first", "n", "seed"))
-                    heads.append(np.stack([doc, tag.astype(np.int64), first.astype(np.int64), n.astype(np.int64), np.zeros(len(doc), np.int64), seed], axis=1))
-                    for i, raw in enumerate(batch.column("bytes")):
-                        heads[-1][i, 4] = total
-                        total += f.write((np.frombuffer(raw.as_buffer(), np.uint8).astype(np.uint16) + 1).tobytes()) // 2
-                        total += f.write(b"\0\0") // 2
-            if not heads:
-                return
-            head = np.concatenate(heads)
-            order = np.lexsort((head[:, 2], head[:, 1], head[:, 0]))
-            same = order[1:][~ts.new_group(*head[order, :3].T)[1:]]  # the same run of a row that was there twice
-            head[same, 3] = 0
-            text = np.memmap(path, np.uint16, "r", shape=(total,)) if total > files.held else np.fromfile(path, np.uint16)
-            begin = head[:, 4]
-            hits = []
-
-            def valid(at):
-                """Of places in the text: the piece, and whether one of its own strings starts there."""
-                p = np.searchsorted(begin, at, "right") - 1
-                return p, at - begin[p] < head[p, 3]
-
-            # neighbours in order that share LENGTH bytes; strings of a doubled row (n = 0) neither match nor are matched
-            group: list[np.ndarray] = []
-
-            def close():
-                if group:
-                    at = np.concatenate(group)
-                    p, ok = valid(at)
-                    if ok.sum() > 1:
-                        hits.append(np.stack([p[ok], (at - begin[p])[ok]], axis=1))
-
-            for at, lcp in suffix_array(text, files):
-                linked = lcp >= length
-                cut = np.flatnonzero(~linked)
-                if not len(cut):
-                    group.append(at)
-                    continue
-                group.append(at[: cut[0]])
-                close()
-                # whole groups inside the batch
-                inner = at[cut[0] : cut[-1]]
-                if len(inner):
-                    g = np.cumsum(~linked[cut[0] : cut[-1]]) - 1
-                    size = np.bincount(g)
-                    some = size[g] > 1
-                    if some.any():
-                        p, ok = valid(inner[some])
-                        own = g[some]
-                        many = np.bincount(own[ok], minlength=len(size)) > 1
-                        take = ok & many[own]
-                        hits.append(np.stack([p[take], (inner[some] - begin[p])[take]], axis=1))
-                group = [at[cut[-1] :]]
-            close()
-            if not hits:
-                return
-            found = np.concatenate(hits)
-            found = found[np.lexsort((found[:, 1], found[:, 0]))]
-            p, place = found[:, 0], found[:, 1] + head[found[:, 0], 2]
-            new = ts.new_group(p)
-            new[1:] |= place[1:] != place[:-1] + 1
-            cut = np.flatnonzero(new)
-            runs = np.diff(np.append(cut, len(p)))
-            at = head[p[cut]]
-            yield spot_batch(REPEAT, at[:, 0].copy(), at[:, 1].astype(np.int32), spots(place[cut], runs))
+        part, files, shard = None, None, None
+        try:
+            for batch in it:
+                keys = batch.column("part").to_numpy(zero_copy_only=False)
+                cuts = np.flatnonzero(ts.new_group(keys)).tolist()
+                for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                    if shard is not None and keys[a] != part:
+                        if (got := shard.repeats(length)) is not None:
+                            yield got
+                        files.__exit__()
+                        shard = None
+                    if shard is None:
+                        part, files = keys[a], Scratch(**scratch)
+                        shard = Shard(files)
+                    shard.add(batch.slice(a, b - a))
+            if shard is not None and (got := shard.repeats(length)) is not None:
+                yield got
+        finally:
+            if files is not None:
+                files.__exit__()
 
     return run
 
@@ -324,7 +354,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **scratch) ->
     tagged = rows.mapInArrow(text_tags, "doc long, text string, tag int")
     met = common.materialise(tagged.join(per_doc.hint("merge"), ["doc", "tag"], "left").select("doc", "text", "tag", "repeats", "compare").mapInArrow(finish(length), CARRIED), "suffix-carried")
     carried = met.where("text is not null")
-    shards = carried.select("doc", "tag", "text", "compare").mapInArrow(pieces(length, gram, buckets), PIECES).repartition(parts, "part")
+    shards = carried.select("doc", "tag", "text", "compare").mapInArrow(pieces(length, gram, 8 * parts), PIECES).repartition(parts, "part").sortWithinPartitions("part")
     more = shards.mapInArrow(sort_shards(length, **scratch), SPOTS).groupBy("doc", "tag").agg(F.collect_list("spot").alias("more"))
     rest = (
         carried.join(more.hint("merge"), ["doc", "tag"], "left")

@@ -6,7 +6,7 @@ in memory), and from the sorted LMS suffixes all L and then all S suffixes are i
 with the one before: one more than the smallest value passed since the last suffix put into the same bucket.
 
 The priority queue is a monotone one: a queue per first character, since suffixes come out by character and, inside one, in
-the order in which they went in. A queue keeps HELD entries in memory and appends the rest to a file of the task's scratch
+the order in which they went in. All queues together keep HELD entries in memory and append the rest to files of the task's scratch
 folder, which is removed with it; text, types, runs and the result are memory-mapped files once they exceed HELD. Work goes
 on in batches of BATCH entries, so memory does not grow with the text.
 """
@@ -32,7 +32,7 @@ class Scratch:
 
     def __init__(self, held: int = HELD, batch: int = BATCH, base: int = BASE):
         self.folder = tempfile.TemporaryDirectory(prefix="suffixes-")
-        self.held, self.batch, self.base, self.n = held, batch, base, 0
+        self.held, self.batch, self.base, self.n, self.queued = held, batch, base, 0, 0
 
     def path(self) -> str:
         self.n += 1
@@ -51,14 +51,16 @@ class Scratch:
 class Queue:
     """First in, first out, of (place, common prefix); keeps what it gave, to be read again in order or backwards."""
 
-    def __init__(self, scratch: Scratch):
+    def __init__(self, scratch: Scratch, wide: bool = True):
+        self.wide = wide
         self.scratch, self.parts, self.files, self.held, self.n, self.read = scratch, [], [], 0, 0, 0
 
     def put(self, at: np.ndarray, lcp: np.ndarray) -> None:
-        self.parts.append(np.stack([at.astype(np.int64), lcp.astype(np.int64)], axis=1))
+        self.parts.append(np.stack([at, lcp], axis=1).astype(np.int64 if self.wide else np.int32))
         self.held += len(at)
         self.n += len(at)
-        if self.held > self.scratch.held // 64:
+        self.scratch.queued += len(at)
+        if self.scratch.queued > self.scratch.held:  # all queues together
             self._spill()
 
     def _spill(self) -> None:
@@ -66,8 +68,15 @@ class Queue:
         path = self.scratch.path()
         whole.tofile(path)
         self.files.append((path, len(whole)))
+        self.scratch.queued -= self.held
         self.parts, self.held = [], 0
 
+    def drop(self) -> None:
+        self.scratch.queued -= self.held
+        for path, _ in self.files:
+            os.remove(path)
+        self.files, self.parts, self.held = [], [], 0
+
     def _pieces(self) -> Iterator[tuple]:
         yield from self.files
         for p in self.parts:
@@ -78,11 +87,12 @@ class Queue:
         for what, n in self._pieces():
             a, b = max(lo - at, 0), min(hi - at, n)
             if a < b:
-                out.append(np.fromfile(what, np.int64, 2 * (b - a), offset=16 * a).reshape(-1, 2) if isinstance(what, str) else what[a:b])
+                kind = np.dtype(np.int64 if self.wide else np.int32)
+                out.append(np.fromfile(what, kind, 2 * (b - a), offset=2 * kind.itemsize * a).reshape(-1, 2) if isinstance(what, str) else what[a:b])
             at += n
             if at >= hi:
                 break
-        got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+        got = np.concatenate(out).astype(np.int64) if out else np.zeros((0, 2), np.int64)
         if not self.files and len(self.parts) > 64:
             self.parts = [np.concatenate(self.parts)]
         return got[:, 0], got[:, 1]
@@ -154,7 +164,7 @@ def _induce(text: np.ndarray, is_s: np.ndarray, run: np.ndarray, order: dict, si
             for a, b in zip(first.tolist(), ends.tolist(), strict=True):
                 c = int(d[a])
                 if c not in queues:
-                    queues[c] = Queue(scratch)
+                    queues[c] = Queue(scratch, len(text) >= 2**31)
                 queues[c].put(prev[a:b], got[a:b])
             tail = np.minimum.accumulate(np.append(lcp, 2**31 - 1)[::-1])[::-1]
             carry[d[first]] = tail[y[ends - 1] + 1]
@@ -166,7 +176,7 @@ def _induce(text: np.ndarray, is_s: np.ndarray, run: np.ndarray, order: dict, si
     ls: dict[int, Queue] = {}
     carry, begun = np.full(sigma, 2**31 - 1, np.int64), np.zeros(sigma, bool)
     tip = len(text) - 1  # the last suffix is L; it is the smallest of its character
-    ls[int(text[tip])] = Queue(scratch)
+    ls[int(text[tip])] = Queue(scratch, len(text) >= 2**31)
     ls[int(text[tip])].put(np.array([tip]), np.array([0]))
     begun[int(text[tip])] = True
     heap = sorted({*order, *ls})
@@ -312,7 +322,8 @@ def suffix_array(text: np.ndarray, scratch: Scratch) -> Iterator[tuple[np.ndarra
             mine = places[is_lms[places]]
             subs[at : at + len(mine)] = mine
             at += len(mine)
-    del ls, ss
+    for q in (*ls.values(), *ss.values()):
+        q.drop()
     number = np.searchsorted(lms, subs)
     ends = np.append(lms[1:], n - 1)[number]  # the substring's last place: the next LMS
     sums = ts.prefix_sums(ts.mix(np.asarray(text).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), ts.FIRST)
@@ -373,3 +384,5 @@ def suffix_array(text: np.ndarray, scratch: Scratch) -> Iterator[tuple[np.ndarra
     ls, ss = _induce(text, is_s, run, by_char(lms[order], lcp), sigma, scratch)
     for at, lcps, _ in _sorted_suffixes(ls, ss, run):
         yield at, lcps
+    for q in (*ls.values(), *ss.values()):
+        q.drop()
