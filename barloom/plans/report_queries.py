@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, gates, metrics, portfolio
+from ..operators import compare, gates, metrics, portfolio, scores
 from ..registry import register
 from ..sources import bars
 from . import compiler, feature_queries, oracle
@@ -391,6 +391,38 @@ def verdicts(spark, sf_dir):
     return r6(gates.verdict(c).select("id", "decay", "verdict"), "decay")
 
 
+SCORES = ("annual_return", "sortino", "exposure", "longs", "shorts", "mean_delta", "exposure_penalty", "beta_penalty", "turnover_penalty", "symmetry")
+
+
+@register(
+    "score_components",
+    TRADED
+    + """, k AS (SELECT symbol, avg(pnl) AS m, stddev_pop(pnl) AS sd, sqrt(avg(CASE WHEN pnl < 0 THEN pnl * pnl ELSE 0 END)) AS dn, avg(abs(position)) AS exposure, avg((position > 0.05)::INT) AS longs, avg((position < -0.05)::INT) AS shorts, avg(abs(delta)) AS mean_delta FROM tr GROUP BY symbol)
+SELECT symbol, round(m * 6240, 6) AS annual_return, round(greatest(least(m / (greatest(dn, 0.2 * sd) + 1e-12) * sqrt(6240), 20), -20), 6) AS sortino, round(exposure, 6) AS exposure, round(longs, 6) AS longs, round(shorts, 6) AS shorts, round(mean_delta, 6) AS mean_delta,
+round(CASE WHEN exposure < 0.1 THEN 2 * (exposure / 0.1 - 1) ELSE 0 END, 6) AS exposure_penalty,
+round(CASE WHEN greatest(longs, shorts) > 0.85 THEN -2 * (greatest(longs, shorts) - 0.85) / 0.15 WHEN greatest(longs, shorts) > 0.7 THEN -0.5 * (greatest(longs, shorts) - 0.7) / 0.15 ELSE 0 END, 6) AS beta_penalty,
+round(-greatest(least(3 * (mean_delta - 0.2), 3), 0), 6) + 0.0 AS turnover_penalty, round(greatest(least(1 - 2 * (abs(longs - 0.5) + abs(shorts - 0.5)), 1), -1), 6) AS symmetry FROM k""",
+)
+def score_components(spark, sf_dir):
+    return r6(scores.components(traded(spark, sf_dir), PPY), *SCORES)
+
+
+@register(
+    "next_bar_ic",
+    TRADED + ", x AS (SELECT symbol, factor, lead(ret) OVER (PARTITION BY symbol ORDER BY time) AS nxt FROM tr) SELECT symbol, round(covar_pop(factor, nxt) / (stddev_pop(factor) * stddev_pop(nxt) + 1e-8), 6) AS ic FROM x WHERE nxt IS NOT NULL GROUP BY symbol",
+)
+def next_bar_ic(spark, sf_dir):
+    return r6(scores.next_bar_ic(traded(spark, sf_dir)), "ic")
+
+
+@register(
+    "reversal_bonus",
+    TRADED + ", x AS (SELECT symbol, position, lag(position) OVER (PARTITION BY symbol ORDER BY time) AS b FROM tr), a AS (SELECT symbol, coalesce(corr(position, b), 0) AS a FROM x WHERE b IS NOT NULL GROUP BY symbol) SELECT round(avg(greatest(least(1 - abs(a) + CASE WHEN a < 0 THEN 0.5 ELSE 0 END, 2), -1)), 6) AS reversal FROM a",
+)
+def reversal(spark, sf_dir):
+    return r6(scores.reversal_bonus(traded(spark, sf_dir)), "reversal")
+
+
 # -- a formula end to end, on daily bars of line items
 
 
