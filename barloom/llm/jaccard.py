@@ -133,7 +133,7 @@ def entries(k: int, percent: int, levels, frequent: int, buckets: int):
 
     def block(parts):
         h, node, size, place = ts.concat(parts, ENTRY_TYPES)
-        for b, n, blob in ts.bucketed(ts.bucket_of(ts.mix(h), buckets), [h, node, size, place]):
+        for b, n, blob in ts.bucketed(ts.bucket_of(h, buckets), [h, node, size, place]):
             yield ENTRY, b, n, blob
 
     def rows(it):

@@ -160,8 +160,8 @@ def bucketed(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[in
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
-    """A bucket of n from the upper half of a hash."""
-    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    """A bucket of n from the upper half of a hash, mixed again: the smallest hashes of windows are not evenly spread."""
+    return ((mix(h) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def concat(parts: list[list[np.ndarray]], types: list) -> list[np.ndarray]:
