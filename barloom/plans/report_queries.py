@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import compare, gates, metrics, portfolio, scores
@@ -102,14 +102,11 @@ def time_range(spark, sf_dir):
 
 @register("bars_last_n", WITH + " SELECT symbol, time, close FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) <= 10")
 def last_n(spark, sf_dir):
-    return bars.newest(hourly(spark, sf_dir).withColumn("__k", F.col("time")), "__k", key=("symbol", "time")).transform(
-        lambda d: d.withColumn("__n", F.row_number().over(_by_symbol().orderBy(F.desc("time")))).where("__n <= 10").select("symbol", "time", "close")
-    )
+    d = hourly(spark, sf_dir)
+    return d.withColumn("__n", F.row_number().over(_by_symbol().orderBy(F.desc("time")))).where("__n <= 10").select("symbol", "time", "close")
 
 
 def _by_symbol():
-    from pyspark.sql import Window
-
     return Window.partitionBy("symbol")
 
 
@@ -212,8 +209,6 @@ def netting(spark, sf_dir):
 
 
 def traded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     p = dense_panel(spark, sf_dir)
     w = Window.partitionBy("symbol").orderBy("time")
     r5 = F.coalesce(F.ln(F.col("close") / F.lag("close", 5).over(w)), F.lit(0.0))

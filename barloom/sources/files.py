@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bars import newest, normal_time
@@ -70,8 +70,6 @@ def save(df: DataFrame, path: str) -> None:
 
 def continuity(old: DataFrame, new: DataFrame, seconds: int) -> DataFrame:
     """One row per symbol: median step, whether it fits the period, whether new goes on beyond old, and the verdict on the gap."""
-    from pyspark.sql import Window
-
     step = new.withColumn("step", F.col("time") - F.lag("time").over(Window.partitionBy("symbol").orderBy("time")))
     a = step.groupBy("symbol").agg(F.median("step").alias("median_step"), F.min("time").alias("first"), F.max("time").alias("last"))
     met = a.join(old.groupBy("symbol").agg(F.max("time").alias("old_last")), "symbol", "left")
