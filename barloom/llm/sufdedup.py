@@ -7,8 +7,8 @@ goes with its bytes to the shard of the seed. Each shard is a text whose suffixe
 external induced sorting (suffixes.py); a string is a repeat if its suffix shares LENGTH bytes with a neighbour in the order.
 
 A map task hands on one row per seed and surroundings, whatever the size of a group, and sends a seed that has several
-surroundings to the shards at once. Shards may be far larger than memory; their scratch files lie in the task's temporary
-folder and are removed with it.
+surroundings to the shards at once. A shard's bytes and queues go to scratch files in the task's temporary folder, which are
+removed with it, but its sort holds some 130 bytes a character in memory (suffixes.py): a shard must fit that.
 
 Defined cases: null and empty texts have no bytes, n_removed 0 and the hash of the empty string; texts shorter than LENGTH
 lose nothing; a null id counts as larger than all others; rows with equal id and text are one document (equal results, not

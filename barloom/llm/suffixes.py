@@ -7,8 +7,11 @@ with the one before: one more than the smallest value passed since the last suff
 
 The priority queue is a monotone one: a queue per first character, since suffixes come out by character and, inside one, in
 the order in which they went in. All queues together keep HELD entries in memory and append the rest to files of the task's scratch
-folder, which is removed with it; text, types, runs and the result are memory-mapped files once they exceed HELD. Work goes
-on in batches of BATCH entries, so memory does not grow with the text.
+folder, which is removed with it; text, types, runs and the order of the LMS substrings are memory-mapped files once they
+exceed HELD, and queues are worked through in batches of BATCH entries.
+
+Only these are external. The prefix sums and their powers, the LMS places with their names, hashes and prefix values, the
+range-minimum table and the recursion's result are arrays in memory, so memory grows with the text: README has figures.
 """
 
 from __future__ import annotations
