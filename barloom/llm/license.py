@@ -1,12 +1,17 @@
 """License scans: normalised text against licence templates by the Dice coefficient of word bigrams.
 
-Text is normalised byte by byte: ASCII letters in lower case, other ASCII but letters and digits to blanks, lines kept.
-Units of a document are each line, each run of lines that hold mostly templates' bigrams, and the whole text. A unit of a
-distinct bigrams can only reach DICE with a template of b if 2 min(a, b) >= DICE (a + b), and with h bigrams that any
-template has if 2 min(h, b) >= DICE (a + b): templates outside these bounds are never compared. A unit is given the
-licence of its most similar template.
-
-Defined cases: null and empty texts and units of a single word match nothing; rows that repeat an id are separate documents;
+Text is normalised byte by byte: ASCII letters in lower case, other ASCII but letters and digits to blanks. Any stretch of a
+document is a window, whatever lines and blank lines it crosses and whatever stands around it in a line. A window of a
+distinct bigrams that shares h with a template of b has a Dice of 2 h / (a + b), so DICE needs h >= DICE b / (2 - DICE) and
+a <= b (2 - DICE) / DICE. Documents with fewer of a template's bigrams are not compared with it; in others the most similar
+window from each of the template's bigrams on is found exactly. Of windows that overlap, the one that shares the most bigrams
+(then that of the highest Dice) names the licence: a text of BSD-3-Clause holds all of BSD-2-Clause. A licence's Dice is the
+highest of its windows.
+
+Templates are notices and short licences, with and without their warranty paragraphs; the long texts of the Apache, CC, GPL
+and MPL licences are not among them, only the notices that refer to them.
+
+Defined cases: null and empty texts and texts of a single word match nothing; rows that repeat an id are separate documents;
 templates that tie are both reported, best names the first by id; an empty table gives an empty result; other columns are
 not read.
 """
@@ -24,33 +29,40 @@ DICE = 0.8
 FILTER_BITS = 20
 
 # Notices and short texts of public licences.
+_BSD_2 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = _BSD_2 + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_MIT_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+
+
+def _gnu(kind: str, version: str, what: str = "program") -> tuple[str, str]:
+    """The first paragraph of the notice and the whole notice."""
+    one = f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+    two = f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details."
+    return one, f"{one} {two} You should have received a copy of the GNU {kind} along with this {what}. If not, see <https://www.gnu.org/licenses/>."
+
+
 TEMPLATES: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", *_gnu("Affero General Public License", "3")),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-        "Licensed under the BSD 2-Clause License.",
-    ),
-    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    "BSD-2-Clause": (_BSD_2, f"{_BSD_2} {_BSD_WARRANTY}", "Licensed under the BSD 2-Clause License."),
+    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", _BSD_3, f"{_BSD_3} {_BSD_WARRANTY}"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
-    "GPL-2.0": (
-        "This work is licensed under the GNU General Public License, version 2.",
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
-    "MIT": (
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    ),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", *_gnu("General Public License", "2")),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", *_gnu("General Public License", "3")),
+    "ISC": (_ISC, f"{_ISC} {_ISC_WARRANTY}"),
+    "LGPL-2.1": ("This work is licensed under the GNU Lesser General Public License, version 2.1.", *_gnu("Lesser General Public License", "2.1"), *_gnu("Lesser General Public License", "2.1", "library")),
+    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", *_gnu("Lesser General Public License", "3"), *_gnu("Lesser General Public License", "3", "library")),
+    "MIT": ("Released under the MIT License.", _MIT, f"{_MIT} {_MIT_WARRANTY}"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
 }
@@ -60,15 +72,23 @@ NORMAL[10] = 10
 NORMAL[48:58], NORMAL[97:123], NORMAL[65:91], NORMAL[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(97, 123), np.arange(128, 256)
 
 
-def bigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, line of the first word, line of the second) of each two words in a row; lines are numbered through."""
+def bigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document) of each two words in a row."""
     text = NORMAL[data]
     s, e, upto = ts.words(text, offs)
     h = ts.word_hashes(text, s, e)
     row = ts.owners(upto)
-    line = np.cumsum(text == 10)[s] + row if len(s) else np.zeros(0, np.int64)
     pair = np.flatnonzero(row[1:] == row[:-1])
-    return ts.gram_hashes(h, 2, ts.FIRST)[pair], row[pair], line[pair], line[pair + 1]
+    return ts.gram_hashes(h, 2, ts.FIRST)[pair], row[pair]
+
+
+def neighbours(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value stands the time before (-1: never) and the next time (len(h): never)."""
+    order = np.argsort(h, kind="stable")
+    same = ~ts.new_group(h[order])[1:]
+    before, after = np.full(len(h), -1, np.int64), np.full(len(h), len(h), np.int64)
+    before[order[1:][same]], after[order[:-1][same]] = order[:-1][same], order[1:][same]
+    return before, after
 
 
 class Templates:
@@ -79,61 +99,71 @@ class Templates:
             for text in texts:
                 raw = np.frombuffer(text.encode(), np.uint8)
                 self.sets.append((name, np.unique(bigrams(raw, np.array([0, len(raw)]))[0])))
-        self.all = np.unique(np.concatenate([np.zeros(0, np.uint64), *[s for _, s in self.sets]]))
+        g = np.concatenate([np.zeros(0, np.uint64), *[s for _, s in self.sets]])
+        order = np.argsort(g, kind="stable")
+        self.grams, self.who = g[order], np.repeat(np.arange(len(self.sets)), [len(s) for _, s in self.sets])[order]
+        # a window shares all its bigrams at best, and a template all of its own
+        self.least = np.array([max(1, int(np.ceil(dice * len(s) / (2 - dice) - 1e-9))) for _, s in self.sets], np.int64)
+        self.most = [int(len(s) * (2 - dice) / dice + 1e-9) for _, s in self.sets]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[(self.all >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-
-    def match(self, unit: np.ndarray) -> list[tuple[str, float]]:
-        a = np.unique(unit)
-        known = int(np.isin(a, self.all, assume_unique=True).sum())
-        out = []
-        for name, t in self.sets:
-            if 2 * min(known, len(t)) < self.dice * (len(a) + len(t)):
+        self.filter[(g >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+
+    def windows(self, k: int, at: np.ndarray, before: np.ndarray, after: np.ndarray) -> list[tuple[int, float, int, int, str]]:
+        """(bigrams shared, Dice, first, last, licence): for each first place the window most similar to template k, whose
+        bigrams stand at the places at. A window whose first bigram comes again is no better than the one without it."""
+        (name, own), least, most, out = self.sets[k], int(self.least[k]), self.most[k], []
+        far = np.append(at[least - 1 :], np.full(least - 1, len(before)))[: len(at)]
+        for i in np.flatnonzero(far < after[at]).tolist():
+            s, stop, wide = int(at[i]), int(after[at[i]]), 2 * most
+            while True:
+                distinct = np.cumsum(before[s : min(s + wide, stop)] < s)
+                if distinct[-1] > most or s + wide >= stop:
+                    break
+                wide *= 2
+            ends = at[i : np.searchsorted(at, s + np.searchsorted(distinct, most, "right"))]
+            if len(ends) < least:
                 continue
-            d = 2 * len(np.intersect1d(a, t, assume_unique=True)) / (len(a) + len(t))
-            if d >= self.dice:
-                out.append((name, d))
-        return [(name, d) for name, d in out if d == max(x for _, x in out)]
+            shared = np.cumsum(before[ends] < s)
+            dice = 2 * shared / (distinct[ends - s] + len(own))
+            j = len(dice) - 1 - int(np.argmax(dice[::-1]))
+            if dice[j] >= self.dice:
+                out.append((int(shared[j]), float(dice[j]), s, int(ends[j]), name))
+        return out
 
     def scan(self, data: np.ndarray, offs: np.ndarray) -> list[dict[str, float]]:
         out: list[dict[str, float]] = [{} for _ in range(len(offs) - 1)]
-        h, row, first, second = bigrams(data, offs)
-        if not len(h):
-            return out
-        hit = self.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-        within = first == second
-        least = self.dice / 2  # of a unit's distinct bigrams at least this share is a template's
-        some = np.unique(row[hit])
-        able = np.zeros(int(second.max()) + 1, bool)  # lines with a template's bigram
-        able[first[hit & within]] = True
+        h, row = bigrams(data, offs)
+        hits = np.flatnonzero(self.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+        lo, hi = np.searchsorted(self.grams, h[hits], "left"), np.searchsorted(self.grams, h[hits], "right")
+        n = hi - lo
+        who = self.who[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        at = np.repeat(hits, n)
+        order = np.lexsort((at, who, row[at]))
+        at, who = at[order], who[order]
+        cut = np.flatnonzero(ts.new_group(row[at], who))
+        ends = np.append(cut[1:], len(at))
+        enough = ends - cut >= self.least[who[cut]]
+        found: dict[int, list] = {}
         cuts = np.searchsorted(row, np.arange(len(offs)))
-        for d in some.tolist():
-            lo, hi = int(cuts[d]), int(cuts[d + 1])
-            units = []
-            mine = slice(lo, hi)
-            if len(np.unique(h[mine][hit[mine]])) >= least * len(np.unique(h[mine])):
-                units.append(h[mine])
-            inside = np.flatnonzero(within[mine] & able[first[mine]]) + lo
-            if len(inside):
-                at = first[inside]
-                group = np.flatnonzero(ts.new_group(at))
-                dense = []
-                for a, b in zip(group.tolist(), [*group[1:].tolist(), len(at)], strict=True):
-                    unit = h[inside[a:b]]
-                    u = np.unique(unit)
-                    if np.isin(u, self.all, assume_unique=True).sum() >= least * len(u):
-                        units.append(unit)
-                        dense.append(int(at[a]))
-                run = [dense[0]] if dense else []
-                for line in [*dense[1:], -2]:
-                    if run and line == run[-1] + 1:
-                        run.append(line)
-                        continue
-                    if len(run) > 1:
-                        units.append(h[mine][(first[mine] >= run[0]) & (second[mine] <= run[-1])])
-                    run = [line]
-            for unit in units:
-                for name, dice in self.match(unit):
+        for a, b in zip(cut[enough].tolist(), ends[enough].tolist(), strict=True):
+            d, k = int(row[at[a]]), int(who[a])
+            if len(np.unique(h[at[a:b]])) >= self.least[k]:
+                found.setdefault(d, []).append((k, at[a:b] - cuts[d]))
+        for d, some in found.items():
+            places = neighbours(h[cuts[d] : cuts[d + 1]])
+            every = sorted((w for k, p in some for w in self.windows(k, p, *places)), reverse=True)
+            held = np.zeros(cuts[d + 1] - cuts[d], bool)  # by windows that share more, or as much at a higher Dice
+            names, tied = set(), []
+            for i, (shared, dice, s, e, name) in enumerate(every):
+                if not held[s : e + 1].any():
+                    names.add(name)
+                    tied.append((s, e))
+                if i + 1 == len(every) or every[i + 1][:2] != (shared, dice):
+                    for s, e in tied:
+                        held[s : e + 1] = True
+                    tied = []
+            for _, dice, _, _, name in every:
+                if name in names:
                     out[d][name] = max(dice, out[d].get(name, 0.0))
         return out
 
