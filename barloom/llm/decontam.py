@@ -4,8 +4,9 @@ Texts and items are compared as bytes of their lower-cased words, joined by one
 item if some part of it is at most edits(length) byte edits from the item: RATE of its length, 0 for items under EXACT bytes.
 
 Windows: an item's window must share as many GRAM-byte strings with it as the q-gram lemma says, so documents are first
-scanned for stretches dense in items' grams; nothing else can hold a match. There, grams vote for (item, place), and the
-item-sized windows at the places that reach the lemma's bound go on.
+scanned for stretches dense in items' grams: one part of a match at least is such a stretch, so all grams within the longest
+item's reach of one are kept. They vote for (item, place), and the item-sized windows at the places that reach the lemma's
+bound go on.
 CGK: the random walk of Chakraborty, Goldenberg and Koucky maps item and window to strings whose Hamming distance follows
 their edit distance (a shared random bit per step and byte says whether to move on). Bit sampling over WALKS walks and
 TABLES samples of SAMPLED places each finds the candidates: with x of a walk's places differing, a pair is missed with
@@ -213,7 +214,10 @@ class Items:
         rich = count >= self.dense
         block = hits // (DENSE // 2)
         keep = rich[block] | rich[np.maximum(block - 1, 0)] | rich[np.maximum(block - 2, 0)]
-        hits = hits[keep]
+        near = np.searchsorted(hits[keep], hits)  # a match has a rich stretch, its other hits are within reach of one
+        some = np.append(hits[keep], np.iinfo(np.int64).max // 2)
+        reach = max((len(t) + e for t, e in zip(self.texts, self.limit, strict=True)), default=0) + 2 * DENSE
+        hits = hits[(some[near] - hits <= reach) | (hits - np.where(near > 0, some[near - 1], -(reach + 1)) <= reach)]
         lo, hi = np.searchsorted(self.grams, g[hits], "left"), np.searchsorted(self.grams, g[hits], "right")
         lens = hi - lo
         at = np.repeat(lo - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from test_operators import frame, prose
 
-from barloom.llm import license
+from barloom.llm import decontam, license
 
 
 def test_licences_across_blank_lines_and_within_lines(spark):
@@ -44,8 +46,6 @@ def test_licences_across_blank_lines_and_within_lines(spark):
 
 def test_licence_windows_against_all_windows():
     rng = random.Random(22)
-    import numpy as np
-
     known = license.Templates({"A": ("a b c d e f g h",), "B": ("a b c d x f g h i",)}, license.DICE)
     for _ in range(200):
         words = [rng.choice("abcdefghix") if rng.random() < 0.3 else "abcdefgh"[k % 8] for k in range(rng.randint(0, 40))]
@@ -60,3 +60,24 @@ def test_licence_windows_against_all_windows():
                     most = max(most, 2 * len(u & t) / (len(u) + len(t)))
         got = known.scan(raw, np.array([0, len(raw)]))[0]
         assert bool(got) == (most >= license.DICE) and (not got or max(got.values()) <= most)
+
+
+def test_all_windows_that_meet_the_gram_bound_are_looked_at():
+    rng = random.Random(23)
+
+    def letters(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    items = decontam.Items([(0, letters(81).encode()), (1, letters(400).encode())])
+    text = items.texts[1].decode()
+    missed = 0
+    for _ in range(128):
+        b, at = list(text), rng.randint(8, 150)
+        for _ in range(items.limit[1]):
+            b[at] = "#"
+            at += rng.randint(9, 11)
+        doc = letters(rng.randint(0, 200)) + "".join(b).replace("#", "0") + letters(rng.randint(0, 200))
+        raw = np.frombuffer(doc.encode(), np.uint8)
+        _, maybe = items.found(*decontam.normal_chunk(raw, np.array([0, len(raw)])))
+        missed += not any(k == 1 for _, k, _, _ in maybe)
+    assert missed == 0
