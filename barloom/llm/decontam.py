@@ -1,7 +1,7 @@
 """Benchmark decontamination within an edit distance.
 
 Texts and items are compared as bytes of their lower-cased words, joined by one blank. A document is contaminated by an
-item if some part of it is at most edits(length) byte edits from the item: RATE of its length, 0 for items under EXACT bytes.
+item if some part of it is at most edits(length) byte edits from the item: RATE of its length, so 0 under 20 bytes.
 
 Windows: an item's window must share as many GRAM-byte strings with it as the q-gram lemma says, so documents are first
 scanned for stretches dense in items' grams: one part of a match at least is such a stretch, so all grams within the longest
@@ -11,6 +11,7 @@ CGK: the random walk of Chakraborty, Goldenberg and Koucky maps item and window
 their edit distance (a shared random bit per step and byte says whether to move on). Bit sampling over WALKS walks and
 TABLES samples of SAMPLED places each finds the candidates: with x of a walk's places differing, a pair is missed with
 probability (1 - (1 - x) ** SAMPLED) ** (WALKS * TABLES), 0.4 % for x = 0.2. A window that equals the item is always found.
+Windows of items under SHORT bytes, of which one edit can change much of a walk, are all verified without sampling.
 Exact verification: Myers' bit-parallel distance of the item to any part of the window and its surroundings.
 
 Items are worked through in blocks of at most BLOCK_BYTES, each broadcast; a document passes all blocks in one go.
@@ -33,7 +34,7 @@ from . import common
 from . import textscan as ts
 
 RATE = 0.05
-EXACT = 64
+SHORT = 64
 GRAM = 8
 DENSE = 64
 WALKS, TABLES, SAMPLED = 4, 6, 6
@@ -91,7 +92,9 @@ def normal_chunk(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def edits(length: int, rate: float = RATE) -> int:
-    return int(length * rate) if length >= EXACT else 0
+    """What an item of that length may differ by; a short one only if the q-gram bound then still asks for a gram."""
+    most = int(length * rate)
+    return most if length >= SHORT or length - GRAM + 1 - GRAM * most > 0 else 0
 
 
 def grams(x: np.ndarray) -> np.ndarray:
@@ -267,7 +270,7 @@ class Items:
             near = self.similar(np.repeat([k for _, k, _, _ in some], [len(w) for _, _, w, _ in some]), [w for _, _, ws, _ in some for w in ws])
             at = 0
             for d, k, windows, part in some:
-                if near[at : at + len(windows)].any() and (n := distance(self.texts[k], part)) <= self.limit[k]:
+                if (len(self.texts[k]) < SHORT or near[at : at + len(windows)].any()) and (n := distance(self.texts[k], part)) <= self.limit[k]:
                     out[d][k] = min(n, out[d].get(k, n))
                 at += len(windows)
         return [[(self.ids[k], e) for k, e in x.items()] for x in out]

@@ -81,3 +81,24 @@ def test_all_windows_that_meet_the_gram_bound_are_looked_at():
         _, maybe = items.found(*decontam.normal_chunk(raw, np.array([0, len(raw)])))
         missed += not any(k == 1 for _, k, _, _ in maybe)
     assert missed == 0
+
+
+def test_short_items_are_found_with_edits():
+    rng = random.Random(24)
+
+    def letters(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    words = [[letters(rng.randint(2, 7)) for _ in range(rng.randint(5, 9))] for _ in range(60)]
+    items = [(k, decontam.normal(" ".join(w))) for k, w in enumerate(words)]
+    texts, want = [], []
+    for k, item in items:
+        for how in range(3):
+            b, at = item.decode(), rng.randrange(1, len(item) - 1)
+            b = (b[:at] + "0" + b[at + 1 :], b[:at] + "0" + b[at:], b[:at] + b[at + 1 :])[how]
+            texts.append(f"{letters(30)}. {b.upper()}? {letters(30)}")
+            want.append((k, how))
+    assert all(20 <= len(t) < decontam.SHORT for _, t in items)
+    got = decontam.Items(items).scan(pa.array(texts))
+    assert [x for x in want if x[0] not in dict(got[want.index(x)])] == []
+    assert decontam.Items([(0, b"nineteen bytes long")]).scan(pa.array(["nineteen bytes l0ng", "nineteen bytes long"])) == [[], [(0, 0)]]
