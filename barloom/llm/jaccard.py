@@ -318,7 +318,8 @@ def tagged_texts(it):
 
 
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bits: int = SKETCH_BITS, few: int = FEW, chunk: int = CHUNK_SHINGLES) -> DataFrame:
-    """(doc, tag, n_shingles, component): doc is the id with nulls as NULL_ID, component the smallest doc reachable by links."""
+    """(doc, tag, n_shingles, component, first_tag): doc is the id with nulls as NULL_ID, component the smallest doc reachable by
+    links; of its rows that are reachable first_tag is the smallest tag, as null and repeated ids don't tell texts apart."""
     spark = docs.sparkSession
     parts = common.partitions(spark)
     rows = docs.select(common.id_key().alias("doc"), F.col("text").cast("string").alias("text"))
@@ -362,8 +363,11 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bits: int
         joined = components(found)
     named = per_doc.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     named = common.materialise(named, "jaccard-named")
-    least = named.where("n > 0").groupBy("c").agg(F.min("doc").alias("least"))
-    return named.join(least, "c", "left").select("doc", "tag", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component"))
+    least = named.where("n > 0").groupBy("c").agg(F.min(F.struct("doc", "tag")).alias("least"))
+    linked = F.col("n") > 0
+    return named.join(least, "c", "left").select(
+        "doc", "tag", F.col("n").alias("n_shingles"), F.when(linked, F.col("least.doc")).otherwise(F.col("doc")).alias("component"), F.when(linked, F.col("least.tag")).otherwise(F.col("tag")).alias("first_tag")
+    )
 
 
 def join(docs: DataFrame, **how) -> DataFrame:
@@ -372,9 +376,10 @@ def join(docs: DataFrame, **how) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, whole, of each component's first document; documents without shingles stay. Of rows that repeat the
-    id and text of a kept one all but one go."""
-    rest = classes(docs, **how).where((F.col("component") != F.col("doc")) & (F.col("n_shingles") > 0)).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).distinct()
+    """One row of docs, whole, of each component: that of the smallest id, null being larger than all others, and of the
+    smallest text hash where rows of the component share that id; documents without shingles stay. Of rows that repeat the
+    id and text of a kept one all but one go: that with the smallest other columns stays."""
+    rest = classes(docs, **how).where(((F.col("component") != F.col("doc")) | (F.col("first_tag") != F.col("tag"))) & (F.col("n_shingles") > 0)).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).distinct()
     rest = common.materialise(rest, "jaccard-rest")
     at = docs.columns.index("text")
 
@@ -387,7 +392,9 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("__tag", T.IntegerType())])
     whole = docs.mapInArrow(tagged, schema).withColumn("__doc", common.id_key())
     kept = whole.join(rest.hint("merge"), ["__doc", "__tag"], "left_anti")
-    return kept.dropDuplicates(["__doc", "__tag"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    by = F.struct(*[F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != "text" and not isinstance(f.dataType, T.MapType)])
+    one = kept.groupBy("__doc", "__tag").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), by).alias("__row"))
+    return one.select(*[F.col(f"__row.`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

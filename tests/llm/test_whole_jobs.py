@@ -1,12 +1,15 @@
 """Cases in which an operator once did less than its whole job."""
 
+import os
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from test_operators import frame, prose
+import pytest
+from test_operators import frame, key, linked_components, prose
 
-from barloom.llm import decontam, license
+from barloom.llm import common, decontam, jaccard, license, mixing, packing
 
 
 def test_licences_across_blank_lines_and_within_lines(spark):
@@ -102,3 +105,24 @@ def test_short_items_are_found_with_edits():
     got = decontam.Items(items).scan(pa.array(texts))
     assert [x for x in want if x[0] not in dict(got[want.index(x)])] == []
     assert decontam.Items([(0, b"nineteen bytes long")]).scan(pa.array(["nineteen bytes l0ng", "nineteen bytes long"])) == [[], [(0, 0)]]
+
+
+def test_one_row_of_each_component_stays_whatever_its_id(spark):
+    rng = random.Random(25)
+    groups = []
+    for ids in ([None] * 4, [7] * 3, [7, 7, 3], [9, None, None], [None], [7]):
+        base = prose(rng, 120).split()
+        texts = [" ".join(w if j != 13 * k else "changed" for j, w in enumerate(base)) for k in range(len(ids))]
+        texts[-1] = texts[-1].upper().replace("Ü", "ü") if len(ids) > 2 else texts[-1]
+        groups.append([(i, t, "s") for i, t in zip(ids, texts)])
+    rows = [r for g in groups for r in g] + [(7, groups[1][0][1], "a"), (7, groups[1][0][1], "z"), (None, None, "s"), (None, "", "b")]
+    docs = frame(spark, rows).repartition(3)
+    got = [(r["doc_id"], r["text"], r["source"]) for r in jaccard.keep_one(docs).collect()]
+    for g in groups:
+        low = min((2**63 - 1 if i is None else i) for i, _, _ in g)
+        of = [r for r in got if r[1] in {t for _, t, _ in g}]
+        assert len(of) == 1 and (2**63 - 1 if of[0][0] is None else of[0][0]) == low
+    assert len([r for r in got if not r[1]]) == 1 and len(got) == len(groups) + 1
+    assert all(s == "a" for _, t, s in got if t == groups[1][0][1])
+    again = [(r["doc_id"], r["text"], r["source"]) for r in jaccard.keep_one(frame(spark, rows[::-1]).repartition(5)).collect()]
+    assert sorted(map(str, again)) == sorted(map(str, got))
