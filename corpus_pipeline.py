@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a DataFrame.
 
 Every stage works on all rows that the one before kept and returns documents' columns, the last one packed rows. Rows with
-null or empty texts: the quality stage scores them as having no terms and rejects them. Empty input stays empty.
+null or empty texts: the quality stage scores them as having no terms and rejects them. Empty input stays empty. run()
+writes each stage's rows to the shared folder and reads them again, so later stages all see the same rows; they stay there.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import decontam, jaccard, mixing, packing, quality
-from barloom.llm.common import table
+from barloom.llm.common import materialise, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +50,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for n, (_, stage) in enumerate(STAGES):
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{n}")
     return docs

@@ -126,3 +126,46 @@ def test_one_row_of_each_component_stays_whatever_its_id(spark):
     assert all(s == "a" for _, t, s in got if t == groups[1][0][1])
     again = [(r["doc_id"], r["text"], r["source"]) for r in jaccard.keep_one(frame(spark, rows[::-1]).repartition(5)).collect()]
     assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_pipeline_run_against_brute_force(spark, tmp_path):
+    if not os.path.exists(packing.VOCABULARY):
+        pytest.skip("no vocabulary file here")
+    import corpus_pipeline
+
+    rng = random.Random(26)
+    items = [(k, prose(rng, 30)) for k in range(3)]
+    good = lambda n: prose(rng, n)
+    bad = lambda n: " ".join(f"{w}$$$" for w in prose(rng, n).upper().split())
+    rows = [(i, good(60) if i % 3 else bad(60), "ab"[i % 2]) for i in range(150)]
+    base = good(100)
+    rows += [(200 + k, " ".join(w if j != 17 * k else "changed" for j, w in enumerate(base.split())), "a") for k in range(5)]
+    rows += [(None, base + " end", "b"), (300, None, "a"), (301, "", "b"), (302, good(50), "a")]
+    rows += [(302, rows[-1][1], "b")] * 3
+    rows += [(310 + k, good(40) + " " + t.upper() + " " + good(40), "b") for k, t in items]
+    docs = frame(spark, rows).repartition(4)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(150)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    kept = [r for r in rows if r[1] and "$$$" not in r[1]]
+    group = {}
+    for a in kept:  # linked by brute force, two at a time
+        for b in kept:
+            if a[1] is not b[1] and sum(linked_components([(1, a[1], ""), (2, b[1], "")]).values()) and {c[2] for c in linked_components([(1, a[1], ""), (2, b[1], "")])} == {1}:
+                group.setdefault(a[1], {a[1]}).add(b[1])
+    first = [r for r in kept if not any(key(o[0]) < key(r[0]) for o in kept if o[1] in group.get(r[1], ()))]
+    first = sorted(set(first), key=lambda r: (key(r[0]), r[2]))
+    first = [r for n, r in enumerate(first) if not n or first[n - 1][:2] != r[:2]]
+    normal = [decontam.normal(t) for _, t in items]
+    clean = [r for r in first if all(decontam.distance(n, decontam.normal(r[1])) > decontam.edits(len(n)) for n in normal)]
+    assert len(kept) > len(first) > len(clean) == 102
+    want = Counter(r["doc_id"] for r in mixing.repeat(frame(spark, clean)).collect())
+
+    before = set(os.listdir(common.shared_dir(spark).removeprefix("file:")))
+    got = Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got.update(d for d, s in zip(r["doc_ids"], r["doc_starts"]) if s == 0)
+    assert got == want
+    new = set(os.listdir(common.shared_dir(spark).removeprefix("file:"))) - before
+    assert sorted(x.rsplit("-", 1)[0] for x in new if x.startswith("pipeline-")) == [f"pipeline-{n}" for n in range(5)]
