@@ -7,8 +7,8 @@ labels; for every document exact cosine products with all of them are computed i
 vote with weights SHARPNESS-fold exponential in the similarity. The score is the share of votes for label 1, as if both
 labels were equally frequent in the sample times PRIOR.
 
-The fit is bounded: FIT_ROWS labelled rows, taken by a hash of the id, half of each label as far as there are. Frequencies
-and singular vectors are the fit's own. Labels are only read for rows outside the held-out fold.
+Document frequencies are counted over all documents, with or without labels. The fit is bounded: FIT_ROWS labelled rows,
+taken by a hash of the id, half of each label as far as there are; the singular vectors are the fit's own. Labels are only read for rows outside the held-out fold.
 
 Defined cases: null, empty and blank texts have the vector of no terms and score NO_TERMS; a null id is in the fold of
 the empty string; rows that repeat an id are scored each by its own text; ids with several or no labels (null counts as none) are
@@ -89,9 +89,8 @@ def weighed(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def fit(counts: np.ndarray, labels: np.ndarray, latent: int = LATENT) -> dict:
+def fit(counts: np.ndarray, labels: np.ndarray, idf: np.ndarray, latent: int = LATENT) -> dict:
     """idf, projection, latent unit vectors and vote weights of a labelled sample."""
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
     x = weighed(counts, idf)
     w, v = np.linalg.eigh((x.T @ x).astype(np.float64))
     projection = v[:, np.argsort(-w)[:latent]].astype(np.float32)
@@ -119,6 +118,26 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
 
 
+def _frequencies(it):
+    """(term, documents that have it); term -1 counts all documents."""
+    n = np.zeros(GRAM_TERMS + SHAPE_TERMS + 1, np.int64)
+    for batch in it:
+        for lo, hi, data, offs in ts.chunks(batch.column(0), 1 << 19):
+            n[0] += hi - lo
+            n[1:] += (terms(data, offs) > 0).sum(axis=0)
+    if n[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)) - 1), pa.array(n)], names=["term", "n"])
+
+
+def inverse_frequencies(docs: DataFrame) -> np.ndarray:
+    """Weight of each hashed term by its share of all documents; the driver gets a row a term whatever the input."""
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    n = np.zeros(GRAM_TERMS + SHAPE_TERMS + 1, np.int64)
+    for r in counted.collect():
+        n[r["term"] + 1] = r["n"]
+    return np.log((1 + n[0]) / (1 + n[1:])).astype(np.float32) + 1
+
+
 def _counted(it):
     for batch in it:
         for lo, hi, data, offs in ts.chunks(batch.column("text"), 1 << 19):
@@ -141,24 +160,27 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict
     chosen = F.broadcast(half[0].unionByName(half[1]).select("id", "label"))  # at most fit_rows rows
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(chosen, "id").select("id", "label", "text")
     # one task fits the bounded sample; the driver only gets the model
-    row = texts.mapInArrow(_counted, "label int, counts binary").repartition(1).mapInArrow(_fitted, "model binary").first()
+    row = texts.mapInArrow(_counted, "label int, counts binary").repartition(1).mapInArrow(_fitted(inverse_frequencies(docs)), "model binary").first()
     return pickle.loads(row["model"]) if row else 1.0
 
 
-def _fitted(it):
-    got = [(y, bytes(c)) for batch in it for y, c in zip(batch.column("label").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
-    if not got:
-        return
-    got.sort()  # the same order in every run
-    y = np.array([g[0] for g in got], np.int64)
-    if len(set(y.tolist())) < 2:
-        model = float(y.mean())
-    else:
-        counts = np.empty((len(got), GRAM_TERMS + SHAPE_TERMS), np.float32)
-        for i, (_, raw) in enumerate(got):
-            counts[i] = np.frombuffer(zlib.decompress(raw), np.uint32)
-        model = fit(counts, y)
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+def _fitted(idf: np.ndarray):
+    def run(it):
+        got = [(y, bytes(c)) for batch in it for y, c in zip(batch.column("label").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+        if not got:
+            return
+        got.sort()  # the same order in every run
+        y = np.array([g[0] for g in got], np.int64)
+        if len(set(y.tolist())) < 2:
+            model = float(y.mean())
+        else:
+            counts = np.empty((len(got), GRAM_TERMS + SHAPE_TERMS), np.float32)
+            for i, (_, raw) in enumerate(got):
+                counts[i] = np.frombuffer(zlib.decompress(raw), np.uint32)
+            model = fit(counts, y, idf)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return run
 
 
 def scores(texts: pa.Array, model: dict | float) -> np.ndarray:

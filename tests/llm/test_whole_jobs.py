@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from test_operators import frame, key, linked_components, prose
 
-from barloom.llm import common, decontam, jaccard, license, mixing, packing
+from barloom.llm import common, decontam, jaccard, license, mixing, packing, quality
 
 
 def test_licences_across_blank_lines_and_within_lines(spark):
@@ -169,3 +169,14 @@ def test_pipeline_run_against_brute_force(spark, tmp_path):
     assert got == want
     new = set(os.listdir(common.shared_dir(spark).removeprefix("file:"))) - before
     assert sorted(x.rsplit("-", 1)[0] for x in new if x.startswith("pipeline-")) == [f"pipeline-{n}" for n in range(5)]
+
+
+def test_document_frequencies_are_of_all_documents(spark):
+    rng = random.Random(27)
+    rows = [(i, prose(rng, 40) if i % 2 else prose(rng, 40).upper(), "s") for i in range(60)] + [(100 + i, f"zzqx {i} qqzz", "s") for i in range(200)] + [(400, None, None), (401, "", "s")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    raw = [(t or "").encode() for _, t, _ in rows]
+    has = quality.terms(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])) > 0
+    want = np.log((1 + len(rows)) / (1 + has.sum(axis=0))) + 1
+    for df in (frame(spark, rows), frame(spark, rows).repartition(7)):
+        assert np.allclose(quality.train(df, labels, fit_rows=20)["idf"], want)
