@@ -13,11 +13,13 @@ NULL_ID = 2**63 - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in one process, one of our own where that is unset."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
         path = sc._jsc.sc().getCheckpointDir().get()
     return path.rstrip("/")
@@ -31,12 +33,14 @@ def materialise(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, gives the planner true sizes."""
     path = new_path(df.sparkSession, what)
     df.write.option("compression", codec).parquet(path)
+    drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Results are lazy and may be read as long as the session lives: what they rest on goes when the driver's JVM ends."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

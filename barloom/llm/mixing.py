@@ -5,11 +5,11 @@ its inclusion probability p. Documents are ranked by Q = (u / (1 - u)) / (p / (1
 sample is the prefix of that order whose words come nearest to what the whole copies leave of the target.
 
 The prefix is found without sorting a source in one task: Q / (1 + Q) falls into BINS bins, their words are summed before
-any shuffle, and only the one bin per source in which the target is reached is ordered by document.
+any shuffle, and only the one bin per source in which the target is reached is ordered, equal rows as one with their number.
 
 Defined cases: null or empty text has size 0 and is taken 0 times over; a null source is a source of its own, last in
-order; a null id hashes as an empty one; rows that repeat an id share u and are told apart by size (equal rows are
-interchangeable); an empty table gives an empty result; all sizes 0 give targets 0. Other columns are left alone.
+order; a null id hashes as an empty one; rows that repeat an id share u and follow one another by size, hash of the text and
+row number, so any number of equal rows can be taken; an empty table gives an empty result; all sizes 0 give targets 0. Other columns are left alone.
 """
 
 from __future__ import annotations
@@ -73,7 +73,10 @@ def _ranked(sized: DataFrame, per: DataFrame) -> DataFrame:
 
 
 def plan(sized: DataFrame, **targets) -> DataFrame:
-    """A row per source of (doc_id, source, size): its target and where its sample ends, as bin and (q, doc_id, size)."""
+    """A row per source of sized: its target and where its sample ends, as bin and (q, doc_id, size, mark, row).
+
+    Rows of the edge bin that are equal but for their row number are counted by block of row numbers before the order is
+    followed; a group of n rows takes what fits, and only the rows of the last group's block are numbered."""
     per = common.materialise(source_targets(sized, **targets), "mix-targets")  # a true size lets the planner broadcast it, or not
     ranked = _ranked(sized, per).where("bin is not null and size > 0").withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
     bins = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
@@ -81,26 +84,40 @@ def plan(sized: DataFrame, **targets) -> DataFrame:
     bins = bins.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
     edge = bins.where("before <= left and before + words > left").groupBy("source").agg(F.max("bin").alias("edge"), F.max_by("before", "bin").alias("before"))
     edge = common.materialise(edge.withColumnRenamed("source", "__source"), "mix-edges")
-    order = Window.partitionBy("source").orderBy("q", "doc_id", "size")
-    at_edge = (
-        ranked.join(edge, F.col("source").eqNullSafe(F.col("__source")) & (F.col("bin") == F.col("edge")))
-        .withColumn("rest", F.col("left") - F.col("before") - F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("size"))
-        .where("rest > 0 and (size <= rest or size - rest < rest)")  # once a document overshoots, nothing is left for those that follow
-    )
-    ends = at_edge.groupBy(F.col("source").alias("__at")).agg(F.max(F.struct("q", "doc_id", "size")).alias("end"))
+    at_edge = ranked.join(edge, F.col("source").eqNullSafe(F.col("__source")) & (F.col("bin") == F.col("edge")))
+    equal = at_edge.groupBy("source", "q", "doc_id", "size", "mark", _block().alias("block")).agg(F.count("*").alias("n"), F.first(F.col("left") - F.col("before")).alias("left"))
+    order = Window.partitionBy("source").orderBy("q", "doc_id", "size", "mark", "block").rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.col("left") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(order), F.lit(0))
+    over = F.col("rest") - F.floor(F.col("rest") / F.col("size")) * F.col("size")
+    fits = F.floor(F.col("rest") / F.col("size")) + F.when(F.col("size") - over < over, 1).otherwise(0)  # the last one may overshoot if that comes nearer
+    taken = equal.withColumn("rest", rest).where("rest > 0").withColumn("k", F.least(F.col("n"), fits)).where("k > 0")
+    last = taken.groupBy("source").agg(F.max(F.struct("q", "doc_id", "size", "mark", "block", "k")).alias("last"))
+    last = common.materialise(last.withColumnRenamed("source", "__source"), "mix-last")
+    here = F.struct("q", "doc_id", "size", "mark", _block().alias("block"))
+    stop = F.struct("last.q", "last.doc_id", "last.size", "last.mark", "last.block")
+    group = at_edge.drop("__source").join(last, F.col("source").eqNullSafe(F.col("__source")) & here.eqNullSafe(stop))
+    numbered = group.withColumn("number", F.row_number().over(Window.partitionBy("source", "last.block").orderBy("row")))
+    ends = numbered.where("number <= last.k").groupBy(F.col("source").alias("__at")).agg(F.max(F.struct("q", "doc_id", "size", "mark", "row")).alias("end"))
     out = per.join(edge, F.col("source").eqNullSafe(F.col("__source")), "left").join(ends, F.col("source").eqNullSafe(F.col("__at")), "left")
     return common.materialise(out.select("source", "source_size", "target", "edge", "end"), "mix-plan")
 
 
 def copies(sized: DataFrame, planned: DataFrame) -> DataFrame:
     """Rows with their number of copies, each told by its own values and its source's plan: no document is shuffled."""
-    inside = F.col("edge").isNull() | (F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & F.coalesce(F.struct("q", "doc_id", "size") <= F.col("end"), F.lit(False)))
+    at = F.struct("q", "doc_id", "size", "mark", "row")
+    inside = F.col("edge").isNull() | (F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & F.coalesce(at <= F.col("end"), F.lit(False)))
     more = F.coalesce((F.col("size") > 0) & F.col("q").isNotNull() & inside, F.lit(False))
     return _ranked(sized, planned).withColumn("copies", F.col("whole") + more.cast("long"))
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"))
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """Rows (doc_id, source, size, mark, row), written once, so that row numbers stay what they are."""
+    return docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("row"), *more)
+
+
+def _block() -> Column:
+    """Row numbers hold the partition in their upper bits; a block is at most 2**16 rows of one."""
+    return F.shiftright("row", 16)
 
 
 def mix(docs: DataFrame, **targets) -> DataFrame:
@@ -112,8 +129,8 @@ def mix(docs: DataFrame, **targets) -> DataFrame:
 
 def repeat(docs: DataFrame, **targets) -> DataFrame:
     """The rows of docs, whole, each as often as the mix takes it."""
-    planned = plan(common.materialise(_sized(docs), "mix-sizes"), **targets)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"))
+    whole = common.materialise(_sized(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")), "mix-rows")
+    planned = plan(whole.drop("__row"), **targets)
     taken = copies(whole, planned).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return taken.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
