@@ -11,7 +11,8 @@ Document frequencies are counted over all documents, with or without labels. The
 taken by a hash of the id, half of each label as far as there are; the singular vectors are the fit's own. Labels are only read for rows outside the held-out fold.
 
 Defined cases: null, empty and blank texts have the vector of no terms and score NO_TERMS; a null id is in the fold of
-the empty string; rows that repeat an id are scored each by its own text; ids with several or no labels (null counts as none) are
+the empty string; rows that repeat an id are scored each by its own
+text, and one of them is fitted on; ids with several or no labels (null counts as none) are
 not fitted on unless all labels agree; without labelled rows of both kinds every score is the share of label 1 (1 without any);
 an empty table gives an empty result; lang, source and other columns are not read.
 """
@@ -158,7 +159,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict
     )
     half = [known.where(F.col("label") == v).orderBy("u", "id").limit(fit_rows // 2) for v in (0, 1)]
     chosen = F.broadcast(half[0].unionByName(half[1]).select("id", "label"))  # at most fit_rows rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(chosen, "id").select("id", "label", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(chosen, "id")
+    # an id that repeats is fitted on once: the text of the smallest hash
+    texts = texts.groupBy("id").agg(F.first("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), F.octet_length("text"))).alias("text"))
     # one task fits the bounded sample; the driver only gets the model
     row = texts.mapInArrow(_counted, "label int, counts binary").repartition(1).mapInArrow(_fitted(inverse_frequencies(docs)), "model binary").first()
     return pickle.loads(row["model"]) if row else 1.0
