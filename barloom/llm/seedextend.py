@@ -8,7 +8,8 @@ the reach; the windows of these runs are then compared one by one. Overlapping w
 
 Nothing gathers a hot group: a map task keeps one row per seed and surroundings, having marked the later ones itself; a seed
 that has several surroundings in one task is sent to window comparison at once, leaving a single marker under the seed; and
-windows are kept once per task as well. So a reducer gets at most one row per key and map block, whatever the group's size.
+windows are kept once per task as well. So a reducer gets at most one row per key and map block, whatever the group's size,
+and works through one bucket of keys at a time.
 
 Order is (doc_id, word): all but the first occurrence of a window are removed, as judged on the input.
 
@@ -161,8 +162,13 @@ def taken(it, kind: int, types: list) -> tuple[list, list]:
 
 
 def meet(it) -> Iterator[pa.RecordBatch]:
-    """Seeds of one partition to spots: repeats of an earlier run, and runs whose windows are to be compared."""
-    parts, others = taken(it, SEEDS, SEED_TYPES)
+    """Seeds to spots: repeats of an earlier run, and runs whose windows are to be compared."""
+    for rows in ts.by_bucket(it):
+        yield from _meet(rows)
+
+
+def _meet(rows: list) -> Iterator[pa.RecordBatch]:
+    parts, others = taken(rows, SEEDS, SEED_TYPES)
     yield from others
     seed, reach, doc, tag, first, n = ts.concat(parts, SEED_TYPES)
     del parts, others
@@ -277,7 +283,12 @@ def windows_of(window: int, buckets: int):
 
 
 def meet_windows(it) -> Iterator[pa.RecordBatch]:
-    parts, others = taken(it, WINDOWS, WINDOW_TYPES)
+    for rows in ts.by_bucket(it):
+        yield from _meet_windows(rows)
+
+
+def _meet_windows(rows: list) -> Iterator[pa.RecordBatch]:
+    parts, others = taken(rows, WINDOWS, WINDOW_TYPES)
     yield from others
     h, doc, tag, place = ts.concat(parts, WINDOW_TYPES)
     if not len(h):
@@ -302,16 +313,16 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     parts = common.partitions(spark)
     buckets = 16 * parts
     rows = docs.select(common.id_key().alias("doc"), F.col("text").cast("string").alias("text"))
-    seeds = rows.mapInArrow(scan(window, gram, buckets), ROWS).repartition(parts, "bucket")
+    seeds = rows.mapInArrow(scan(window, gram, buckets), ROWS).repartition(parts, "bucket").sortWithinPartitions("bucket")
     found = common.materialise(seeds.mapInArrow(meet, SPOTS), "seed-spots")
-    per_doc = found.groupBy("doc", "tag").agg(
-        F.collect_list(F.when(F.col("kind") == REPEAT, F.col("spot"))).alias("repeats"), F.collect_list(F.when(F.col("kind") == COMPARE, F.col("spot"))).alias("compare")
+    per_doc = found.groupBy("doc", "tag").agg(  # sets: rows that repeat an id and text name the same spots
+        F.collect_set(F.when(F.col("kind") == REPEAT, F.col("spot"))).alias("repeats"), F.collect_set(F.when(F.col("kind") == COMPARE, F.col("spot"))).alias("compare")
     )
     tagged = rows.mapInArrow(text_tags, "doc long, text string, tag int")
     met = common.materialise(tagged.join(per_doc, ["doc", "tag"], "left").select("doc", "text", "tag", "repeats", "compare").mapInArrow(finish(window), CARRIED), "seed-carried")
     carried = met.where("text is not null")
-    hashed = carried.select("doc", "tag", "text", "compare").mapInArrow(windows_of(window, buckets), ROWS).repartition(parts, "bucket")
-    more = hashed.mapInArrow(meet_windows, SPOTS).groupBy("doc", "tag").agg(F.collect_list("spot").alias("more"))
+    hashed = carried.select("doc", "tag", "text", "compare").mapInArrow(windows_of(window, buckets), ROWS).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    more = hashed.mapInArrow(meet_windows, SPOTS).groupBy("doc", "tag").agg(F.collect_set("spot").alias("more"))
     rest = (
         carried.join(more, ["doc", "tag"], "left")
         .select("doc", "text", "tag", F.concat("repeats", F.coalesce("more", F.array().cast("array<long>"))).alias("repeats"), F.lit(None).cast("array<long>").alias("compare"))

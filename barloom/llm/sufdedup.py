@@ -7,12 +7,14 @@ goes with its bytes to the shard of the seed. Each shard is a text whose suffixe
 external induced sorting (suffixes.py); a string is a repeat if its suffix shares LENGTH bytes with a neighbour in the order.
 
 A map task hands on one row per seed and surroundings, whatever the size of a group, and sends a seed that has several
-surroundings to the shards at once. A shard's bytes and queues go to scratch files in the task's temporary folder, which are
-removed with it, but its sort holds some 130 bytes a character in memory (suffixes.py): a shard must fit that.
+surroundings to the shards at once. A seed with more than RUNS pieces (a passage that many documents hold) is dealt to several
+shards: each is sorted by itself, and every different string that it holds then meets those of the seed's other shards, once
+per shard, under its hash. So no task gets a group that grows with the input. A shard's bytes, queues and arrays go to scratch
+files in the task's temporary folder beyond a fixed number of entries, and are removed with it.
 
 Defined cases: null and empty texts have no bytes, n_removed 0 and the hash of the empty string; texts shorter than LENGTH
-lose nothing; a null id counts as larger than all others; rows with equal id and text are one document (equal results, not
-repeats of each other); rows with equal id and different texts are told apart by a hash of the text; removal may cut a
+lose nothing; a null id counts as larger than all others; rows that repeat an id are
+documents of their own, and repeats of each other where their bytes are (their spots are kept once, by id and a hash of the text); removal may cut a
 character in two, so only the hash and counts are returned; an empty table gives an empty result; other columns are not read.
 """
 
@@ -37,6 +39,11 @@ BLOCK = 1 << 20
 SEED_TYPES = ["u8", "u8", "i8", "i4", "i4", "u2", "u1"]  # seed, surroundings, doc, tag, first byte, strings, state
 ONE, SEVERAL, MARKER = 0, 1, 2
 """States of a seed's row: one run with these surroundings in its task; several, which the task has marked; a seed sent to the shards."""
+CLASS_TYPES = ["u8", "i8", "i4", "i4", "u1"]  # string, doc, tag, place, whether marked
+CLASSES = 4
+"""Kind of rows with the different strings of a shard of a salted seed."""
+RUNS = 512
+"""Pieces of a seed beyond which it is dealt to several shards."""
 PLACE_BITS = 24
 
 
@@ -78,16 +85,15 @@ def seeds_of(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tupl
     return row, g[seed], reach, first - offs[row], n
 
 
-def grouped(seed, reach, doc, tag, first, rest):
-    """rest in order, with masks: first of a seed; first of its surroundings; and per row the number of different places."""
-    rest = rest[np.lexsort((first[rest], tag[rest], doc[rest], reach[rest], seed[rest]))]
+def grouped(seed, reach, rest):
+    """rest in order, with masks: first of a seed; first of its surroundings; per row the number of rows with its seed and
+    surroundings, and of surroundings with its seed."""
+    rest = rest[np.lexsort((reach[rest], seed[rest]))]
     of_seed, of_reach = ts.new_group(seed[rest]), ts.new_group(seed[rest], reach[rest])
-    of_place = ts.new_group(seed[rest], reach[rest], doc[rest], tag[rest], first[rest])
-    cut = np.flatnonzero(of_reach)
-    places = np.repeat(np.add.reduceat(of_place.astype(np.int64), cut), np.diff(np.append(cut, len(rest))))
+    size = np.diff(np.append(np.flatnonzero(of_reach), len(rest)))
     cut = np.flatnonzero(of_seed)
     kinds = np.repeat(np.add.reduceat(of_reach.astype(np.int64), cut), np.diff(np.append(cut, len(rest))))
-    return rest, of_seed, of_reach, places, kinds
+    return rest, of_seed, of_reach, np.repeat(size, size), kinds
 
 
 def block_rows(parts: list, buckets: int) -> Iterator[tuple]:
@@ -98,7 +104,7 @@ def block_rows(parts: list, buckets: int) -> Iterator[tuple]:
     alone = fresh & np.append(fresh[1:], True)
     keep, rest = order[alone], order[~alone]
     if len(rest):
-        rest, of_seed, of_reach, places, kinds = grouped(seed, reach, doc, tag, first, rest)
+        rest, of_seed, of_reach, places, kinds = grouped(seed, reach, rest)
         marked = rest[places > 1]
         yield from spot_rows(REPEAT, doc[marked], tag[marked], spots(first[marked], n[marked]), buckets)
         sent = rest[(kinds > 1) & of_reach]
@@ -131,8 +137,13 @@ def scan(length: int, gram: int, buckets: int):
 
 
 def meet(it) -> Iterator[pa.RecordBatch]:
-    """Seeds of one partition to spots: strings known to be repeats, and runs that go to the shards."""
-    parts, others = taken(it, SEEDS, SEED_TYPES)
+    """Seeds to spots: strings known to be repeats, and runs that go to the shards."""
+    for rows in ts.by_bucket(it):
+        yield from _meet(rows)
+
+
+def _meet(rows: list) -> Iterator[pa.RecordBatch]:
+    parts, others = taken(rows, SEEDS, SEED_TYPES)
     yield from others
     seed, reach, doc, tag, first, n, state = ts.concat(parts, SEED_TYPES)
     del parts, others
@@ -142,7 +153,7 @@ def meet(it) -> Iterator[pa.RecordBatch]:
     if not len(rest):
         return
     reach = np.where(state == MARKER, np.uint64(0), reach)
-    rest, _, of_reach, places, kinds = grouped(seed, reach, doc, tag, first, rest)
+    rest, _, of_reach, places, kinds = grouped(seed, reach, rest)
     several = state[rest] == SEVERAL
     cut = np.flatnonzero(of_reach)
     told = np.repeat(np.logical_or.reduceat(several, cut), np.diff(np.append(cut, len(rest))))
@@ -202,19 +213,18 @@ def finish(length: int):
     return run
 
 
-PIECES = "part int, doc long, tag int, first int, n int, bytes binary"
-PIECES_ARROW = pa.schema([("part", pa.int32()), ("doc", pa.int64()), ("tag", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())])
+PIECES = "seed long, doc long, tag int, first int, n int, bytes binary"
+PIECES_ARROW = pa.schema([("seed", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("bytes", pa.binary())])
 
 
-def pieces(length: int, gram: int, buckets: int):
-    """Batches of carried documents to the bytes of their runs, by the shard of the seed."""
+def pieces(length: int, gram: int):
+    """Batches of carried documents to the bytes of their runs, with the seed."""
 
     def rows(it):
         for batch in it:
             ids, tags, lists = batch.column("doc").to_pylist(), batch.column("tag").to_pylist(), batch.column("compare")
             for lo, _, data, offs in ts.chunks(batch.column("text")):
                 row, seed, _, first, n = seeds_of(data, offs, length, gram)
-                part = ts.bucket_of(seed, buckets)
                 cuts = np.searchsorted(row, np.arange(len(offs)))
                 for d in range(len(offs) - 1):
                     mine = np.arange(cuts[d], cuts[d + 1])
@@ -222,16 +232,25 @@ def pieces(length: int, gram: int, buckets: int):
                     text = data[offs[d] : offs[d + 1]]
                     for j in asked.tolist():
                         a = int(first[j])
-                        yield int(part[j]), ids[lo + d], tags[lo + d], a, int(n[j]), text[a : a + int(n[j]) + length - 1].tobytes()
+                        yield int(seed[j].view(np.int64)), ids[lo + d], tags[lo + d], a, int(n[j]), text[a : a + int(n[j]) + length - 1].tobytes()
 
     return lambda it: to_batches(rows(it), PIECES_ARROW)
 
 
+def dealt(piece: DataFrame, buckets: int, runs: int) -> DataFrame:
+    """Pieces with their shard; a seed with more than runs pieces has as many shards of its own as it takes, told by salted."""
+    hot = piece.groupBy("seed").count().where(F.col("count") > runs).select("seed", F.ceil(F.col("count") / runs).alias("salts"))
+    salted = F.col("salts").isNotNull()
+    salt = F.pmod(F.xxhash64("doc", "tag", "first"), F.col("salts"))
+    part = F.when(salted, F.xxhash64("seed", salt)).otherwise(F.pmod(F.xxhash64("seed"), F.lit(buckets)))
+    return piece.join(hot, "seed", "left").select(part.alias("part"), salted.alias("salted"), "doc", "tag", "first", "n", "bytes")
+
+
 class Shard:
     """The pieces of one part: heads in memory, bytes there or, beyond the scratch's limit, in its file."""
 
-    def __init__(self, files: Scratch):
-        self.files, self.path, self.heads, self.parts, self.held, self.total = files, None, [], [], 0, 0
+    def __init__(self, files: Scratch, salted: bool):
+        self.files, self.salted, self.path, self.heads, self.parts, self.held, self.total = files, salted, None, [], [], 0, 0
 
     def add(self, batch: pa.RecordBatch) -> None:
         doc, tag, first, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc", "tag", "first", "n"))
@@ -260,25 +279,27 @@ class Shard:
         self._spill()
         return np.memmap(self.path, np.uint16, "r", shape=(self.total,))
 
-    def repeats(self, length: int) -> pa.RecordBatch | None:
-        """REPEAT spots of the strings that share their first length bytes with another one's."""
+    def repeats(self, length: int, buckets: int) -> Iterator[tuple]:
+        """Rows of kind REPEAT for the strings that share their first length bytes with another one's; if the seed is salted,
+        also one row of kind CLASSES per different string, to meet those of its other shards."""
         head = np.concatenate(self.heads)
-        order = np.lexsort((head[:, 2], head[:, 1], head[:, 0]))
-        head[order[1:][~ts.new_group(*head[order, :3].T)[1:]], 3] = 0  # the same run of a row that is there twice
-        if (head[:, 3] > 0).sum() < 2:
-            return None
-        begin, hits = head[:, 4], []
+        begin, text = head[:, 4], self.text()
+        hits: list[np.ndarray] = []
+        classes: list[np.ndarray] = []
 
         def close(at: np.ndarray, group: np.ndarray) -> None:
             """Places in order with the number of their group: those of groups with several strings are hits."""
             p = np.searchsorted(begin, at, "right") - 1
             ok = at - begin[p] < head[p, 3]  # a string of the piece's own starts here
-            many = np.bincount(group[ok], minlength=int(group[-1]) + 1) > 1
-            take = ok & many[group]
-            hits.append(np.stack([p[take], (at - begin[p])[take]], axis=1))
+            at, p, group = at[ok], p[ok], group[ok]
+            many = np.bincount(group, minlength=1)[group] > 1
+            hits.append(np.stack([p, at - begin[p]], axis=1)[many])
+            if self.salted:
+                one = ts.new_group(group)
+                classes.append(np.stack([p, at - begin[p], many], axis=1)[one])
 
         left: list[np.ndarray] = []  # the group that the next batch may go on with
-        for at, lcp in suffix_array(self.text(), self.files):
+        for at, lcp in suffix_array(text, self.files):
             cut = np.flatnonzero(lcp < length)
             if not len(cut):
                 left.append(at)
@@ -290,27 +311,51 @@ class Shard:
             if len(done):
                 group = np.cumsum(starts)
                 some = np.bincount(group)[group] > 1
-                if some.any():
+                if self.salted:
+                    close(done, group)
+                elif some.any():
                     close(done[some], group[some])
             left = [at[cut[-1] :]]
         last = np.concatenate(left)
         close(last, np.zeros(len(last), np.int64))
         found = np.concatenate(hits)
-        if not len(found):
-            return None
         found = found[np.lexsort((found[:, 1], found[:, 0]))]
         p, place = found[:, 0], found[:, 1] + head[found[:, 0], 2]
         new = ts.new_group(p)
         new[1:] |= place[1:] != place[:-1] + 1
         cut = np.flatnonzero(new)
         at = head[p[cut]]
-        return spot_batch(REPEAT, at[:, 0].copy(), at[:, 1].astype(np.int32), spots(place[cut], np.diff(np.append(cut, len(p)))))
+        yield from spot_rows(REPEAT, at[:, 0].copy(), at[:, 1].astype(np.int32), spots(place[cut], np.diff(np.append(cut, len(p)))), buckets)
+        if self.salted:
+            yield from self._classes(np.concatenate(classes), head, text, length, buckets)
 
+    def _classes(self, one: np.ndarray, head: np.ndarray, text: np.ndarray, length: int, buckets: int) -> Iterator[tuple]:
+        one = one[np.lexsort((one[:, 1], one[:, 0]))]
+        cut = np.flatnonzero(ts.new_group(one[:, 0]))
+        parts, held = [], 0
 
-def sort_shards(length: int, **scratch):
-    """Pieces sorted by part to REPEAT spots, a shard at a time."""
+        def block():
+            h, doc, tag, place, many = ts.concat(parts, CLASS_TYPES)
+            for b, n, blob in ts.bucketed(ts.bucket_of(h, buckets), [h, doc, tag, place, many]):
+                yield CLASSES, b, n, blob
+
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(one)], strict=True):
+            doc, tag, first, n, begin = head[one[a, 0]].tolist()
+            values = ts.BYTE_VALUES[np.asarray(text[begin : begin + n + length - 1]).astype(np.int64) - 1]
+            at = one[a:b, 1]
+            parts.append([ts.gram_hashes(values, length, ts.SECOND)[at], np.full(b - a, doc), np.full(b - a, tag, np.int32), (first + at).astype(np.int32), one[a:b, 2].astype(np.uint8)])
+            held += b - a
+            if held >= BLOCK:
+                yield from block()
+                parts, held = [], 0
+        if held:
+            yield from block()
 
-    def run(it):
+
+def sort_shards(length: int, buckets: int, **scratch):
+    """Pieces sorted by part to rows of kinds REPEAT and CLASSES, a shard at a time."""
+
+    def rows(it):
         part, files, shard = None, None, None
         try:
             for batch in it:
@@ -318,21 +363,32 @@ def sort_shards(length: int, **scratch):
                 cuts = np.flatnonzero(ts.new_group(keys)).tolist()
                 for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
                     if shard is not None and keys[a] != part:
-                        if (got := shard.repeats(length)) is not None:
-                            yield got
+                        yield from shard.repeats(length, buckets)
                         files.__exit__()
                         shard = None
                     if shard is None:
                         part, files = keys[a], Scratch(**scratch)
-                        shard = Shard(files)
+                        shard = Shard(files, batch.column("salted")[a].as_py())
                     shard.add(batch.slice(a, b - a))
-            if shard is not None and (got := shard.repeats(length)) is not None:
-                yield got
+            if shard is not None:
+                yield from shard.repeats(length, buckets)
         finally:
             if files is not None:
                 files.__exit__()
 
-    return run
+    return lambda it: to_batches(rows(it), ROWS_ARROW)
+
+
+def meet_classes(it) -> Iterator[pa.RecordBatch]:
+    """Strings of salted seeds that several shards hold: those not yet marked are repeats."""
+    for rows in ts.by_bucket(it):
+        parts, others = taken(rows, CLASSES, CLASS_TYPES)
+        yield from others
+        h, doc, tag, place, many = ts.concat(parts, CLASS_TYPES)
+        order = np.argsort(h)
+        n = np.diff(np.append(np.flatnonzero(ts.new_group(h[order])), len(h)))
+        at = order[(np.repeat(n, n) > 1) & (many[order] == 0)]
+        yield spot_batch(REPEAT, doc[at], tag[at], spots(place[at], np.ones(len(at), np.int64)))
 
 
 def text_tags(it):
@@ -341,21 +397,23 @@ def text_tags(it):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(np.concatenate(tags) if tags else np.zeros(0, np.int32), pa.int32())], names=["doc", "text", "tag"])
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **scratch) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, runs: int = RUNS, **scratch) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per input row."""
     parts = common.partitions(docs.sparkSession)
     buckets = 16 * parts
     rows = docs.select(common.id_key().alias("doc"), F.col("text").cast("string").alias("text"))
-    seeds = rows.mapInArrow(scan(length, gram, buckets), ROWS).repartition(parts, "bucket")
+    seeds = rows.mapInArrow(scan(length, gram, buckets), ROWS).repartition(parts, "bucket").sortWithinPartitions("bucket")
     found = common.materialise(seeds.mapInArrow(meet, SPOTS), "suffix-spots")
-    per_doc = found.groupBy("doc", "tag").agg(
-        F.collect_list(F.when(F.col("kind") == REPEAT, F.col("spot"))).alias("repeats"), F.collect_list(F.when(F.col("kind") == COMPARE, F.col("spot"))).alias("compare")
+    per_doc = found.groupBy("doc", "tag").agg(  # sets: rows that repeat an id and text name the same spots
+        F.collect_set(F.when(F.col("kind") == REPEAT, F.col("spot"))).alias("repeats"), F.collect_set(F.when(F.col("kind") == COMPARE, F.col("spot"))).alias("compare")
     )
     tagged = rows.mapInArrow(text_tags, "doc long, text string, tag int")
     met = common.materialise(tagged.join(per_doc.hint("merge"), ["doc", "tag"], "left").select("doc", "text", "tag", "repeats", "compare").mapInArrow(finish(length), CARRIED), "suffix-carried")
     carried = met.where("text is not null")
-    shards = carried.select("doc", "tag", "text", "compare").mapInArrow(pieces(length, gram, 8 * parts), PIECES).repartition(parts, "part").sortWithinPartitions("part")
-    more = shards.mapInArrow(sort_shards(length, **scratch), SPOTS).groupBy("doc", "tag").agg(F.collect_list("spot").alias("more"))
+    piece = common.materialise(carried.select("doc", "tag", "text", "compare").mapInArrow(pieces(length, gram), PIECES), "suffix-pieces")
+    shards = dealt(piece, 8 * parts, runs).repartition(parts, "part").sortWithinPartitions("part")
+    sorted_ = shards.mapInArrow(sort_shards(length, buckets, **scratch), ROWS).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    more = sorted_.mapInArrow(meet_classes, SPOTS).groupBy("doc", "tag").agg(F.collect_set("spot").alias("more"))
     rest = (
         carried.join(more.hint("merge"), ["doc", "tag"], "left")
         .select("doc", "text", "tag", F.concat("repeats", F.coalesce("more", F.array().cast("array<long>"))).alias("repeats"), F.lit(None).cast("array<long>").alias("compare"))

@@ -159,6 +159,22 @@ def bucketed(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[in
         yield int(b[lo]), hi - lo, pack([c[lo:hi] for c in columns])
 
 
+def by_bucket(it) -> Iterator[list]:
+    """The slices of one bucket at a time, from batches sorted by their column bucket."""
+    held, last = [], None
+    for batch in it:
+        keys = batch.column("bucket").to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(new_group(keys)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+            if held and keys[a] != last:
+                yield held
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = keys[a]
+    if held:
+        yield held
+
+
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     """A bucket of n from the upper half of a hash, mixed again: the smallest hashes of windows are not evenly spread."""
     return ((mix(h) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)

@@ -87,12 +87,12 @@ def test_seed_extend_against_all_windows(docs):
     assert got == want
 
 
-@pytest.mark.parametrize("scratch", [{}, {"held": 64, "batch": 32, "base": 8}])
+@pytest.mark.parametrize("scratch", [{}, {"held": 64, "batch": 32, "base": 8}, {"runs": 2}])
 def test_suffix_dedup_against_all_strings(docs, scratch):
     rows = small_corpus()
     count = Counter()
-    for _, t in unique_docs(rows):
-        b = t.encode()
+    for _, t, _ in rows:  # a row that is there twice repeats itself
+        b = (t or "").encode()
         count.update(b[p : p + 400] for p in range(len(b) - 399))
     want = Counter()
     for i, t, _ in rows:
