@@ -44,6 +44,8 @@ CLASSES = 4
 """Kind of rows with the different strings of a shard of a salted seed."""
 RUNS = 512
 """Pieces of a seed beyond which it is dealt to several shards."""
+SPLITS = 64
+"""Tasks that the pieces of one seed are spread over when they learn the number of its shards."""
 PLACE_BITS = 24
 
 
@@ -240,10 +242,11 @@ def pieces(length: int, gram: int):
 def dealt(piece: DataFrame, buckets: int, runs: int) -> DataFrame:
     """Pieces with their shard; a seed with more than runs pieces has as many shards of its own as it takes, told by salted."""
     hot = piece.groupBy("seed").count().where(F.col("count") > runs).select("seed", F.ceil(F.col("count") / runs).alias("salts"))
+    hot = hot.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))  # a row for each RUNS / SPLITS pieces at most
+    place = F.xxhash64("doc", "tag", "first")
     salted = F.col("salts").isNotNull()
-    salt = F.pmod(F.xxhash64("doc", "tag", "first"), F.col("salts"))
-    part = F.when(salted, F.xxhash64("seed", salt)).otherwise(F.pmod(F.xxhash64("seed"), F.lit(buckets)))
-    return piece.join(hot, "seed", "left").select(part.alias("part"), salted.alias("salted"), "doc", "tag", "first", "n", "bytes")
+    part = F.when(salted, F.xxhash64("seed", F.pmod(place, F.col("salts")))).otherwise(F.pmod(F.xxhash64("seed"), F.lit(buckets)))
+    return piece.withColumn("split", F.pmod(place, F.lit(SPLITS)).cast("int")).join(hot, ["seed", "split"], "left").select(part.alias("part"), salted.alias("salted"), "doc", "tag", "first", "n", "bytes")
 
 
 class Shard:
