@@ -3,18 +3,18 @@
 Texts and items are compared as bytes of their lower-cased words, joined by one blank. A document is contaminated by an
 item if some part of it is at most edits(length) byte edits from the item: RATE of its length, so 0 under 20 bytes.
 
-Windows: an item's window must share as many GRAM-byte strings with it as the q-gram lemma says, so documents are first
-scanned for stretches dense in items' grams: one part of a match at least is such a stretch, so all grams within the longest
-item's reach of one are kept. They vote for (item, place), and the item-sized windows at the places that reach the lemma's
-bound go on.
-CGK: the random walk of Chakraborty, Goldenberg and Koucky maps item and window to strings whose Hamming distance follows
-their edit distance (a shared random bit per step and byte says whether to move on). Bit sampling over WALKS walks and
-TABLES samples of SAMPLED places each finds the candidates: with x of a walk's places differing, a pair is missed with
-probability (1 - (1 - x) ** SAMPLED) ** (WALKS * TABLES), 0.4 % for x = 0.2. A window that equals the item is always found.
-Windows of items under SHORT bytes, of which one edit can change much of a walk, are all verified without sampling.
-Exact verification: Myers' bit-parallel distance of the item to any part of the window and its surroundings.
-
-Items are worked through in blocks of at most BLOCK_BYTES, each broadcast; a document passes all blocks in one go.
+Windows: items are put in classes of similar lengths. A window starts anywhere in a document and is as long as the shortest
+item of a class, or LONGEST bytes, of which longer items have several. Only windows are looked at whose surroundings hold as many GRAM-byte strings of the benchmark, whichever, as
+the q-gram lemma asks of a match of the class; it names no item and loses no match.
+CGK: the random walk of Chakraborty, Goldenberg and Koucky maps items and windows to strings whose Hamming distance follows
+their edit distance (a shared random bit per step and byte says whether to move on).
+Bit sampling finds the candidates: of each of WALKS walks, TABLES samples of SAMPLED places make codes, and a window meets the
+items of its class that have one of its codes. All starts near a match are tried, each by WALKS * TABLES codes. A window that
+equals an item has all its codes. recall() measures what share of edited items is found, by kind of edit.
+Exact verification: Myers' bit-parallel distance of the item to any part of the text around the windows that met it.
+
+Items are worked through in blocks of at most BLOCK_BYTES (or one item), one after the other, each broadcast and let go of
+before the next.
 
 Defined cases: null, empty and word-less texts are clean; items without words match nothing; items of equal text are all
 reported; items shorter than GRAM bytes match as whole words; null item ids are reported as null, after the others; rows
@@ -23,10 +23,13 @@ that repeat an id are separate documents; an empty benchmark leaves all clean; a
 
 from __future__ import annotations
 
+import math
+import random
 import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +37,17 @@ from . import common
 from . import textscan as ts
 
 RATE = 0.05
-SHORT = 64
 GRAM = 8
 DENSE = 64
-WALKS, TABLES, SAMPLED = 4, 6, 6
+WALKS, TABLES, SAMPLED = 6, 16, 4
+RATIO = 1.25
+"""Between the longest and the shortest item of a class."""
+LONGEST = 512
+"""Bytes of a window at most; longer items have one window after the other."""
+STEPS = 2
+"""Steps of a walk per byte of a window."""
+WINDOWS = 2048
+"""Windows that are embedded at once."""
 SEED = 20240305
 BLOCK_BYTES = 8 << 20
 FILTER_BITS = 22
@@ -92,9 +102,9 @@ def normal_chunk(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def edits(length: int, rate: float = RATE) -> int:
-    """What an item of that length may differ by; a short one only if the q-gram bound then still asks for a gram."""
+    """What an item of that length may differ by; 0 if the q-gram bound would then ask for no gram."""
     most = int(length * rate)
-    return most if length >= SHORT or length - GRAM + 1 - GRAM * most > 0 else 0
+    return most if length - GRAM + 1 - GRAM * most > 0 else 0
 
 
 def grams(x: np.ndarray) -> np.ndarray:
@@ -109,20 +119,18 @@ def spot(g: np.ndarray) -> np.ndarray:
     return (g * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def walks(x: np.ndarray, lengths: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """CGK embedding of each row of x (bytes, 0 beyond the row's end) by one table of bits [steps, 256]."""
+def walks(x: np.ndarray, steps: int, bits: np.ndarray) -> np.ndarray:
+    """CGK embedding [steps, rows] of each row of x (bytes, 0 beyond the row's end) by one table of bits [steps, 256]."""
     n, width = x.shape
     padded = np.zeros((n, width + 1), np.uint8)
     padded[:, :width] = x
-    flat, row = padded.ravel(), np.arange(n) * (width + 1)
-    at = np.zeros(n, np.int64)
-    out = np.zeros((3 * int(lengths.max()), n), np.uint8)
-    for step in range(len(out)):
-        c = flat[row + at]
-        out[step] = c
-        at += bits[step % len(bits)][c]
-        np.minimum(at, width, out=at)
-    return out.T
+    flat, at, last = padded.ravel(), np.arange(n) * (width + 1), np.arange(n) * (width + 1) + width
+    out = np.empty((steps, n), np.uint8)
+    for step in range(steps):
+        c = out[step] = flat[at]
+        at += bits[step][c]
+        np.minimum(at, last, out=at)
+    return out
 
 
 def distance(item: bytes, text: bytes) -> int:
@@ -145,8 +153,51 @@ def distance(item: bytes, text: bytes) -> int:
     return best
 
 
+class Sized:
+    """Items of a class of lengths, with the codes of their first bytes."""
+
+    def __init__(self, members: list[int], texts: list[bytes], limit: list[int], number: int):
+        self.lo, self.hi = min(len(texts[k]) for k in members), max(len(texts[k]) for k in members)
+        self.wide = min(self.lo, LONGEST)
+        self.edits = max(limit[k] for k in members)
+        self.need = min(len(texts[k]) - GRAM + 1 - GRAM * limit[k] for k in members)
+        self.steps = STEPS * self.wide
+        rng = np.random.default_rng([SEED, number])
+        self.bits = rng.integers(0, 2, (WALKS, self.steps, 256), dtype=np.int64)
+        self.picks = (rng.random((WALKS, TABLES, SAMPLED)) * self.steps).astype(np.int64)
+        self.salts = ts.mix(np.arange(WALKS * TABLES, dtype=np.uint64) + np.uint64(number << 20))
+        parts = [(k, at) for k in members for at in range(0, len(texts[k]) - self.wide + 1, self.wide)]
+        keys = np.concatenate([self.codes(np.stack([np.frombuffer(texts[k], np.uint8)[at : at + self.wide] for k, at in parts[i : i + WINDOWS]])) for i in range(0, len(parts), WINDOWS)])
+        who, offset = (np.repeat(np.array(x, np.int64), keys.shape[1]) for x in zip(*parts, strict=True))
+        order = np.argsort(keys, axis=None, kind="stable")
+        self.keys, self.who, self.offset = keys.ravel()[order], who[order], offset[order]
+
+    def codes(self, rows: np.ndarray) -> np.ndarray:
+        """[rows, WALKS * TABLES] codes."""
+        out, shift = [], np.arange(SAMPLED, dtype=np.uint64)[:, None] * np.uint64(8)
+        for w in range(WALKS):
+            e = walks(rows, int(self.picks[w].max()) + 1, self.bits[w])
+            out += [(e[self.picks[w, t]].astype(np.uint64) << shift).sum(axis=0, dtype=np.uint64) for t in range(TABLES)]
+        return ts.mix(np.stack(out, axis=1) ^ self.salts)
+
+    def meet(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """[(window, item, where in the item)] of windows at start, in documents that end at end, that have a code of an item."""
+        found = []
+        for lo in range(0, len(start), WINDOWS):
+            s = start[lo : lo + WINDOWS]
+            at = s[:, None] + np.arange(self.wide)
+            rows = np.where(at < end[lo : lo + WINDOWS, None], data[np.minimum(at, len(data) - 1)], np.uint8(0))
+            keys = self.codes(rows).ravel()
+            a = np.searchsorted(self.keys, keys, "left")
+            hit = np.flatnonzero(self.keys[np.minimum(a, len(self.keys) - 1)] == keys)
+            n = np.searchsorted(self.keys, keys[hit], "right") - a[hit]
+            of = np.repeat(a[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            found.append(np.unique(np.stack([np.repeat(hit // (WALKS * TABLES), n) + lo, self.who[of], self.offset[of]]), axis=1))
+        return np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+
+
 class Items:
-    """A block of items: grams with their places, bounds, and the sampled embeddings."""
+    """A block of items: the grams that it holds, and its classes by length."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], rate: float = RATE):
         self.ids = [i for i, _ in items]
@@ -154,181 +205,162 @@ class Items:
         self.limit = [edits(len(t), rate) for t in self.texts]
         self.short = [k for k, t in enumerate(self.texts) if 0 < len(t) < GRAM]
         full = [k for k, t in enumerate(self.texts) if len(t) >= GRAM]
-        each = [grams(np.frombuffer(self.texts[k], np.uint8)) for k in full]
-        g = np.concatenate([np.zeros(0, np.uint64), *each])
-        who = np.repeat(np.array(full, np.int64), [len(x) for x in each]) if full else np.zeros(0, np.int64)
-        place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(x)) for x in each]]).astype(np.int64)
-        order = np.argsort(g, kind="stable")
-        self.grams, self.who, self.place = g[order], who[order], place[order]
+        self.grams = {k: np.unique(grams(np.frombuffer(self.texts[k], np.uint8))) for k in full}
         self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[spot(g)] = True
+        for g in self.grams.values():
+            self.filter[spot(g)] = True
         # the lemma: places of a window that must hold one of the item's grams
-        self.need = np.array([max(1, len(t) - GRAM + 1 - GRAM * e) for t, e in zip(self.texts, self.limit, strict=True)], np.int64)
-        self.dense = min((-(-int(self.need[k]) // -(-(len(self.texts[k]) + self.limit[k]) // DENSE)) for k in full), default=1)
-        rng = np.random.default_rng(SEED)
-        self.bits = rng.integers(0, 2, (WALKS, 4096, 256), dtype=np.int8)
-        self.picks = rng.random((WALKS, TABLES, SAMPLED))
-        self.keys: dict[int, np.ndarray] = {}
-
-    def sampled(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """[rows, WALKS * TABLES] numbers made of the sampled places."""
-        out = []
-        for w in range(WALKS):
-            e = walks(rows, lengths, self.bits[w])
-            for t in range(TABLES):
-                at = (self.picks[w, t] * (3 * lengths)[:, None]).astype(np.int64)
-                some = np.take_along_axis(e, at, 1).astype(np.uint64)
-                out.append((some << (np.arange(SAMPLED, dtype=np.uint64) * np.uint64(8))).sum(axis=1))
-        return np.stack(out, axis=1)
-
-    def similar(self, items: np.ndarray, windows: list[bytes]) -> np.ndarray:
-        """Whether each window meets its item under some sample."""
-
-        def rows(texts):
-            width = max(map(len, texts))
-            return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in texts), np.uint8).reshape(len(texts), width)
-
-        lengths = np.array([len(t) for t in self.texts])
-        own, back = np.unique(items, return_inverse=True)
-        keys = self.sampled(rows([self.texts[k] for k in own]), lengths[own])
-        return (self.sampled(rows(windows), lengths[items]) == keys[back]).any(axis=1)
-
-    def found(self, data: np.ndarray, begin: np.ndarray) -> tuple[list[list[tuple[int, int]]], list[tuple]]:
-        """For each document of a normal chunk the items that it holds unchanged, as (item, 0); and what may hold an
-        edited one: (document, item, windows, part of the text)."""
+        self.need = [max(1, len(t) - GRAM + 1 - GRAM * e) for t, e in zip(self.texts, self.limit, strict=True)]
+        self.dense = min((-(-self.need[k] // -(-(len(self.texts[k]) + self.limit[k]) // DENSE)) for k in full), default=1)
+        self.reach = max((len(self.texts[k]) + self.limit[k] for k in full), default=0)
+        self.inside = self.reach if self.reach >= 2 * LONGEST else 0
+        by: dict[int, list[int]] = {}
+        for k in full:
+            by.setdefault(int(math.log(len(self.texts[k])) / math.log(RATIO)), []).append(k)
+        self.classes = [Sized(by[c], self.texts, self.limit, c) for c in sorted(by)]
+
+    def near(self, hit: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        """Places from which a match may start: within reach of a stretch dense in grams. Any match has such a stretch, as
+        its grams are at least need of the places of at most length / DENSE stretches."""
+        edge = np.arange(0, len(hit) + DENSE, DENSE // 2)
+        count = upto[np.minimum(edge + DENSE + DENSE // 2, len(hit))] - upto[np.minimum(edge, len(hit))]
+        rich = edge[count >= self.dense]
+        mark = np.zeros(len(hit) + 1, np.int32)
+        np.add.at(mark, np.maximum(rich - self.reach, 0), 1)
+        np.add.at(mark, np.minimum(rich + 2 * DENSE + self.inside, len(hit)), -1)
+        return np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+
+    def found(self, data: np.ndarray, begin: np.ndarray) -> tuple[list[dict[int, int]], list[tuple]]:
+        """For each document of a normal chunk the short items that it holds; and what may hold others: (document, item,
+        starts of the windows that met it)."""
         n = len(begin) - 1
+        out: list[dict[int, int]] = [{} for _ in range(n)]
         maybe: list[tuple] = []
-        out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         raw = data.tobytes() if self.short else b""
         for k in self.short:
             for i in range(n):
                 if b" " + self.texts[k] + b" " in b" " + raw[begin[i] : begin[i + 1] - 1] + b" ":
-                    out[i].append((k, 0))
+                    out[i][k] = 0
         g = grams(data)
-        if not len(g) or not len(self.grams):
+        if not len(g) or not self.classes:
             return out, maybe
         hit = self.filter[spot(g)]
         upto = np.zeros(len(hit) + 1, np.int32)
         np.cumsum(hit, out=upto[1:])
-        hits = np.flatnonzero(hit)
-        # hits in some stretch of DENSE places that has enough of them: counted before and after every DENSE // 2 places
-        edge = np.arange(0, len(hit) + DENSE, DENSE // 2)
-        count = upto[np.minimum(edge + DENSE + DENSE // 2, len(hit))] - upto[np.minimum(edge, len(hit))]
-        rich = count >= self.dense
-        block = hits // (DENSE // 2)
-        keep = rich[block] | rich[np.maximum(block - 1, 0)] | rich[np.maximum(block - 2, 0)]
-        near = np.searchsorted(hits[keep], hits)  # a match has a rich stretch, its other hits are within reach of one
-        some = np.append(hits[keep], np.iinfo(np.int64).max // 2)
-        reach = max((len(t) + e for t, e in zip(self.texts, self.limit, strict=True)), default=0) + 2 * DENSE
-        hits = hits[(some[near] - hits <= reach) | (hits - np.where(near > 0, some[near - 1], -(reach + 1)) <= reach)]
-        lo, hi = np.searchsorted(self.grams, g[hits], "left"), np.searchsorted(self.grams, g[hits], "right")
-        lens = hi - lo
-        at = np.repeat(lo - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-        pos = np.repeat(hits, lens)
-        doc = np.searchsorted(begin, pos, "right") - 1
-        item, diag = self.who[at], pos - self.place[at]
-        if not len(item):
-            return out, maybe
-        order = np.lexsort((diag, item, doc))
-        doc, item, diag = doc[order], item[order], diag[order]
-        # votes of places that insertions and deletions within the limit can reach from each other
-        limit = np.array(self.limit, np.int64)
-        rank = np.cumsum(ts.new_group(doc, item)) * (int(diag.max() - diag.min()) + len(limit) + int(limit.max()) + 2) + diag - diag.min()
-        votes = np.searchsorted(rank, rank + limit[item], "right") - np.arange(len(rank))
-        able = np.flatnonzero(votes >= self.need[item])
-        cut = able[ts.new_group(doc[able], item[able])]
-        for a in cut.tolist():
-            d, k = int(doc[a]), int(item[a])
-            mine = able[(doc[able] == d) & (item[able] == k)]
-            text, e = self.texts[k], self.limit[k]
-            starts = np.unique(np.concatenate([diag[i : i + votes[i]] for i in mine[ts.new_group(diag[mine])].tolist()]))
-            first, end = int(begin[d]), int(begin[d + 1]) - 1
-            exact = False
-            apart = np.flatnonzero(np.append(True, np.diff(starts) > e + 1))
-            for lo_, hi_ in zip(apart.tolist(), [*apart[1:].tolist(), len(starts)], strict=True):
-                some = starts[lo_:hi_].tolist()
-                part = data[max(first, some[0] - e) : max(first, min(end, some[-1] + len(text) + e))].tobytes()
-                if text in part:
-                    exact = True
-                elif e:
-                    windows = [data[max(first, s) : max(first, min(s + len(text), end))].tobytes() for s in some]
-                    maybe.append((d, k, windows, part))
-            if exact:
-                out[d].append((k, 0))
+        place = self.near(hit, upto)
+        doc = np.searchsorted(begin, place, "right") - 1
+        end = begin[doc + 1] - 1
+        for c in self.classes:
+            back = 0 if c.hi < 2 * c.wide else c.hi  # windows inside of long items
+            stop = np.minimum(place + c.hi + c.edits - GRAM + 1, np.minimum(end, len(hit)))
+            first = np.maximum(place - back, begin[doc])
+            able = np.flatnonzero((upto[np.maximum(stop, place)] - upto[first] >= c.need) & (end - place >= c.wide - c.edits))
+            window, item, offset = c.meet(data, place[able], end[able])
+            if not len(window):
+                continue
+            at = able[window]
+            start, of = np.maximum(place[at] - offset, begin[doc[at]]), doc[at]
+            order = np.lexsort((start, item, of))
+            start, item, of = start[order], item[order], of[order]
+            cut = np.flatnonzero(ts.new_group(of, item))
+            maybe += [(int(of[a]), int(item[a]), np.unique(start[a:b]) - begin[of[a]]) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(of)], strict=True)]
         return out, maybe
 
+    def nearest(self, text: np.ndarray, k: int, starts: np.ndarray) -> int | None:
+        """Edits between item k and the most similar part of the text around the starts, if within the limit."""
+        item, e, best = self.texts[k], self.limit[k], None
+        apart = np.flatnonzero(np.append(True, np.diff(starts) > e + 1)).tolist()
+        for lo, hi in zip(apart, [*apart[1:], len(starts)], strict=True):
+            part = text[max(0, int(starts[lo]) - e) : int(starts[hi - 1]) + len(item) + e]
+            if item in (raw := part.tobytes()):
+                return 0
+            if e and np.isin(grams(part), self.grams[k]).sum() >= self.need[k] and (d := distance(item, raw)) <= e:
+                best = d if best is None else min(best, d)
+        return best
+
     def scan(self, texts: pa.Array) -> list[list[tuple[int | None, int]]]:
-        out: list[dict[int, int]] = []
-        maybe: list[tuple] = []
-        for _, _, data, offs in ts.chunks(texts):
-            exact, more = self.found(*normal_chunk(data, offs))
-            maybe += [(len(out) + d, *x) for d, *x in more]
-            out += [dict(x) for x in exact]
-        maybe = [x for x in maybe if x[1] not in out[x[0]]]
-        for lo in range(0, len(maybe), 512):
-            some = maybe[lo : lo + 512]
-            near = self.similar(np.repeat([k for _, k, _, _ in some], [len(w) for _, _, w, _ in some]), [w for _, _, ws, _ in some for w in ws])
-            at = 0
-            for d, k, windows, part in some:
-                if (len(self.texts[k]) < SHORT or near[at : at + len(windows)].any()) and (n := distance(self.texts[k], part)) <= self.limit[k]:
-                    out[d][k] = min(n, out[d].get(k, n))
-                at += len(windows)
-        return [[(self.ids[k], e) for k, e in x.items()] for x in out]
-
-
-def blocks(benchmark: DataFrame, rate: float = RATE, most: int = BLOCK_BYTES) -> list:
-    """Broadcast blocks of items; the driver holds one block at a time."""
+        out: list[list] = []
+        for _, _, raw, offs in ts.chunks(texts):
+            data, begin = normal_chunk(raw, offs)
+            found, maybe = self.found(data, begin)
+            for d, k, starts in maybe:
+                if (n := self.nearest(data[begin[d] : begin[d + 1] - 1], k, starts)) is not None:
+                    found[d][k] = n
+            out += [[(self.ids[k], e) for k, e in x.items()] for x in found]
+        return out
+
+
+def recall(items: list[bytes], kind: str, trials: int, rng: random.Random, rate: float = RATE) -> float:
+    """Share of items found with as many substitutions, insertions or deletions as are allowed, inside other text."""
+    known = Items(list(enumerate(items)), rate)
+    texts, want = [], []
+    words = b" ".join(items).split()
+    for n in range(trials):
+        k = n % len(items)
+        b = bytearray(items[k])
+        for _ in range(known.limit[k]):
+            at = rng.choice([i for i in range(1, len(b) - 1) if all(32 < c < 128 for c in b[i - 1 : i + 2])])  # no lost blank or half a letter, which would count twice
+            b[at : at + (kind != "insert")] = b"" if kind == "delete" else bytes([rng.choice(b"abcdefghijklmnopqrstuvwxyz")])
+        some = [" ".join(rng.choice(words).decode() for _ in range(20)) for _ in range(2)]
+        texts.append(f"{some[0]} {normal(b.decode('utf-8', 'replace')).decode()} {some[1]}")
+        want.append(k)
+    got = known.scan(pa.array(texts))
+    exact = [distance(items[k], normal(t)) <= known.limit[k] for k, t in zip(want, texts, strict=True)]
+    return sum(k in dict(g) for k, g, e in zip(want, got, exact, strict=True) if e) / sum(exact)
+
+
+FOUND = "array<struct<item:bigint,edits:int>>"
+FOUND_ARROW = pa.list_(pa.struct([("item", pa.int64()), ("edits", pa.int32())]))
+
+
+def block_count(benchmark: DataFrame, most: int = BLOCK_BYTES) -> int:
+    return -(-(benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most) or 1
+
+
+def block(benchmark: DataFrame, i: int, n: int) -> Broadcast:
+    """The i-th of n blocks of items by hash of their text: what the driver and the executors hold at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // most) or 1
-    out = []
-    for i in range(n):
-        block = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect()
-        items = sorted(((r["item_id"], normal(r["text"])) for r in block), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        out.append(benchmark.sparkSession.sparkContext.broadcast([x for x in items if x[1]]))
-    return out
-
-
-def _found_by(items: list, rate: float):
-    """One scanner per worker process and block."""
-    held: dict = {}
-
-    def scan(texts: pa.Array) -> list[list]:
-        out: list[list] = [[] for _ in range(len(texts))]
-        for i, b in enumerate(items):
-            if i not in held:
-                held[i] = Items(b.value, rate)
-            for row, found in zip(out, held[i].scan(texts), strict=True):
-                row += found
-        return [sorted(r, key=lambda x: (x[0] is None, x[0] or 0, x[1])) for r in out]
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect()
+    items = sorted(((r["item_id"], normal(r["text"])) for r in some), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    return benchmark.sparkSession.sparkContext.broadcast([x for x in items if x[1]])
 
-    return scan
 
-
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, contaminated, item_ids, edits), one row per input row."""
-    items = blocks(benchmark, rate)
-    schema = pa.schema([("doc_id", pa.int64()), ("contaminated", pa.bool_()), ("item_ids", pa.list_(pa.int64())), ("edits", pa.list_(pa.int32()))])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.array().cast(FOUND).alias("found"))
+    n = block_count(benchmark, block_bytes)
+    for i in range(n):
+        held, last = block(benchmark, i, n), i + 1 == n
 
-    def run(it):
-        scan = _found_by(items, rate)
-        for batch in it:
-            got = scan(batch.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([bool(x) for x in got], pa.bool_()), pa.array([[i for i, _ in x] for x in got], schema.field(2).type), pa.array([[e for _, e in x] for x in got], schema.field(3).type)], schema=schema
-            )
+        def run(it, held=held, last=last):
+            known = Items(held.value, rate)
+            for batch in it:
+                found = [x + [{"item": k, "edits": e} for k, e in y] for x, y in zip(batch.column("found").to_pylist(), known.scan(batch.column("text")), strict=True)]
+                kept = ["doc_id"] if last else ["doc_id", "text"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, FOUND_ARROW)], names=[*kept, "found"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, contaminated boolean, item_ids array<long>, edits array<int>")
+        rows = rows.mapInArrow(run, f"doc_id long, {'' if last else 'text string, '}found {FOUND}")
+        if not last:  # the next block's pass reads what this one has found, and this block goes
+            rows = common.materialise(rows, "leaks")
+            held.destroy()
+    by = F.array_sort(F.transform("found", lambda x: F.struct(x["item"].isNull().alias("none"), x["item"].alias("item"), x["edits"].alias("edits"))))
+    return rows.select("doc_id", (F.size("found") > 0).alias("contaminated"), by.alias("by")).select("doc_id", "contaminated", F.col("by.item").alias("item_ids"), F.col("by.edits").alias("edits"))
 
 
-def keep(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+def keep(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, whole, that hold no item."""
-    items = blocks(benchmark, rate)
-    at = docs.columns.index("text")
-
-    def run(it):
-        scan = _found_by(items, rate)
-        for batch in it:
-            yield batch.filter(pa.array([not x for x in scan(batch.column(at).cast(pa.string()))], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    at, n = docs.columns.index("text"), block_count(benchmark, block_bytes)
+    rows = docs
+    for i in range(n):
+        held = block(benchmark, i, n)
+
+        def run(it, held=held):
+            known = Items(held.value, rate)
+            for batch in it:
+                yield batch.filter(pa.array([not x for x in known.scan(batch.column(at).cast(pa.string()))], pa.bool_()))
+
+        rows = rows.mapInArrow(run, docs.schema)
+        if i + 1 < n:
+            rows = common.materialise(rows, "clean")
+            held.destroy()
+    return rows

@@ -364,7 +364,7 @@ def sort_shards(length: int, buckets: int, **scratch):
             for batch in it:
                 keys = batch.column("part").to_numpy(zero_copy_only=False)
                 cuts = np.flatnonzero(ts.new_group(keys)).tolist()
-                for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                for a, b in zip(cuts, [*cuts, len(keys)][1:], strict=True):
                     if shard is not None and keys[a] != part:
                         yield from shard.repeats(length, buckets)
                         files.__exit__()

@@ -165,7 +165,7 @@ def by_bucket(it) -> Iterator[list]:
     for batch in it:
         keys = batch.column("bucket").to_numpy(zero_copy_only=False)
         cuts = np.flatnonzero(new_group(keys)).tolist()
-        for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+        for a, b in zip(cuts, [*cuts, len(keys)][1:], strict=True):
             if held and keys[a] != last:
                 yield held
                 held = []

@@ -79,10 +79,11 @@ def test_all_windows_that_meet_the_gram_bound_are_looked_at():
         for _ in range(items.limit[1]):
             b[at] = "#"
             at += rng.randint(9, 11)
-        doc = letters(rng.randint(0, 200)) + "".join(b).replace("#", "0") + letters(rng.randint(0, 200))
-        raw = np.frombuffer(doc.encode(), np.uint8)
-        _, maybe = items.found(*decontam.normal_chunk(raw, np.array([0, len(raw)])))
-        missed += not any(k == 1 for _, k, _, _ in maybe)
+        before = letters(rng.randint(0, 200))
+        raw = np.frombuffer((before + "".join(b).replace("#", "0") + letters(rng.randint(0, 200))).encode(), np.uint8)
+        data, _ = decontam.normal_chunk(raw, np.array([0, len(raw)]))
+        hit = items.filter[decontam.spot(decontam.grams(data))]
+        missed += len(before) not in items.near(hit, np.concatenate([[0], np.cumsum(hit)]))
     assert missed == 0
 
 
@@ -101,7 +102,7 @@ def test_short_items_are_found_with_edits():
             b = (b[:at] + "0" + b[at + 1 :], b[:at] + "0" + b[at:], b[:at] + b[at + 1 :])[how]
             texts.append(f"{letters(30)}. {b.upper()}? {letters(30)}")
             want.append((k, how))
-    assert all(20 <= len(t) < decontam.SHORT for _, t in items)
+    assert all(20 <= len(t) < 64 for _, t in items)
     got = decontam.Items(items).scan(pa.array(texts))
     assert [x for x in want if x[0] not in dict(got[want.index(x)])] == []
     assert decontam.Items([(0, b"nineteen bytes long")]).scan(pa.array(["nineteen bytes l0ng", "nineteen bytes long"])) == [[], [(0, 0)]]
