@@ -3,7 +3,8 @@
 Texts and items are compared as bytes of their lower-cased words, joined by one blank. A document is contaminated by an
 item if some part of it is at most edits(length) byte edits from the item: RATE of its length, so 0 under 20 bytes.
 
-Windows: items are put in classes of similar lengths. A window starts anywhere in a document and is as long as the shortest
+Windows: items are put in classes of similar lengths. A window starts with a word, or where the benchmark's grams begin (so that
+an unchanged item is met wherever it stands), and is as long as the shortest
 item of a class, or LONGEST bytes, of which longer items have several. Only windows are looked at whose surroundings hold as many GRAM-byte strings of the benchmark, whichever, as
 the q-gram lemma asks of a match of the class; it names no item and loses no match.
 CGK: the random walk of Chakraborty, Goldenberg and Koucky maps items and windows to strings whose Hamming distance follows
@@ -50,7 +51,7 @@ WINDOWS = 2048
 """Windows that are embedded at once."""
 SEED = 20240305
 BLOCK_BYTES = 8 << 20
-FILTER_BITS = 22
+FILTER_BITS, KEY_BITS = 22, 20
 BLANK = re.compile(r"[\W_]+")
 
 
@@ -120,16 +121,18 @@ def spot(g: np.ndarray) -> np.ndarray:
 
 
 def walks(x: np.ndarray, steps: int, bits: np.ndarray) -> np.ndarray:
-    """CGK embedding [steps, rows] of each row of x (bytes, 0 beyond the row's end) by one table of bits [steps, 256]."""
+    """CGK embeddings [steps, walks, rows] of each row of x (bytes, 0 beyond the row's end) by tables of bits [steps, walks * 256]."""
     n, width = x.shape
     padded = np.zeros((n, width + 1), np.uint8)
     padded[:, :width] = x
-    flat, at, last = padded.ravel(), np.arange(n) * (width + 1), np.arange(n) * (width + 1) + width
-    out = np.empty((steps, n), np.uint8)
+    flat, begin = padded.ravel(), np.arange(n) * (width + 1)
+    tables = bits.shape[1] // 256
+    at, table = np.tile(begin, (tables, 1)), (np.arange(tables) * 256)[:, None]
+    out = np.empty((steps, tables, n), np.uint8)
     for step in range(steps):
-        c = out[step] = flat[at]
-        at += bits[step][c]
-        np.minimum(at, last, out=at)
+        c = flat.take(at, out=out[step], mode="clip")
+        at += bits[step].take(c + table)
+        np.minimum(at, begin + width, out=at)
     return out
 
 
@@ -163,7 +166,7 @@ class Sized:
         self.need = min(len(texts[k]) - GRAM + 1 - GRAM * limit[k] for k in members)
         self.steps = STEPS * self.wide
         rng = np.random.default_rng([SEED, number])
-        self.bits = rng.integers(0, 2, (WALKS, self.steps, 256), dtype=np.int64)
+        self.bits = rng.integers(0, 2, (self.steps, WALKS * 256), dtype=np.int64)
         self.picks = (rng.random((WALKS, TABLES, SAMPLED)) * self.steps).astype(np.int64)
         self.salts = ts.mix(np.arange(WALKS * TABLES, dtype=np.uint64) + np.uint64(number << 20))
         parts = [(k, at) for k in members for at in range(0, len(texts[k]) - self.wide + 1, self.wide)]
@@ -171,13 +174,14 @@ class Sized:
         who, offset = (np.repeat(np.array(x, np.int64), keys.shape[1]) for x in zip(*parts, strict=True))
         order = np.argsort(keys, axis=None, kind="stable")
         self.keys, self.who, self.offset = keys.ravel()[order], who[order], offset[order]
+        self.some = np.zeros(1 << KEY_BITS, bool)
+        self.some[self.keys >> np.uint64(64 - KEY_BITS)] = True
 
     def codes(self, rows: np.ndarray) -> np.ndarray:
         """[rows, WALKS * TABLES] codes."""
-        out, shift = [], np.arange(SAMPLED, dtype=np.uint64)[:, None] * np.uint64(8)
-        for w in range(WALKS):
-            e = walks(rows, int(self.picks[w].max()) + 1, self.bits[w])
-            out += [(e[self.picks[w, t]].astype(np.uint64) << shift).sum(axis=0, dtype=np.uint64) for t in range(TABLES)]
+        shift = np.arange(SAMPLED, dtype=np.uint64)[:, None] * np.uint64(8)
+        e = walks(rows, int(self.picks.max()) + 1, self.bits)
+        out = [(e[self.picks[w, t], w].astype(np.uint64) << shift).sum(axis=0, dtype=np.uint64) for w in range(WALKS) for t in range(TABLES)]
         return ts.mix(np.stack(out, axis=1) ^ self.salts)
 
     def meet(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -188,10 +192,10 @@ class Sized:
             at = s[:, None] + np.arange(self.wide)
             rows = np.where(at < end[lo : lo + WINDOWS, None], data[np.minimum(at, len(data) - 1)], np.uint8(0))
             keys = self.codes(rows).ravel()
-            a = np.searchsorted(self.keys, keys, "left")
-            hit = np.flatnonzero(self.keys[np.minimum(a, len(self.keys) - 1)] == keys)
-            n = np.searchsorted(self.keys, keys[hit], "right") - a[hit]
-            of = np.repeat(a[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            hit = np.flatnonzero(self.some[keys >> np.uint64(64 - KEY_BITS)])
+            a = np.searchsorted(self.keys, keys[hit], "left")
+            n = np.searchsorted(self.keys, keys[hit], "right") - a
+            of = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
             found.append(np.unique(np.stack([np.repeat(hit // (WALKS * TABLES), n) + lo, self.who[of], self.offset[of]]), axis=1))
         return np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
 
@@ -248,6 +252,9 @@ class Items:
         upto = np.zeros(len(hit) + 1, np.int32)
         np.cumsum(hit, out=upto[1:])
         place = self.near(hit, upto)
+        begins = np.ones(len(hit), bool)  # of a word, a document, or a run of places with the benchmark's grams
+        begins[1:] = (data[: len(hit) - 1] == 32) | (data[: len(hit) - 1] == 0) | (hit[1:] & ~hit[:-1])
+        place = place[begins[place]]
         doc = np.searchsorted(begin, place, "right") - 1
         end = begin[doc + 1] - 1
         for c in self.classes:
@@ -266,6 +273,11 @@ class Items:
             maybe += [(int(of[a]), int(item[a]), np.unique(start[a:b]) - begin[of[a]]) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(of)], strict=True)]
         return out, maybe
 
+    def shared(self, k: int, part: np.ndarray) -> int:
+        """Places of the part that hold a gram of item k."""
+        own, g = self.grams[k], grams(part)
+        return int(np.count_nonzero(own[np.minimum(np.searchsorted(own, g), len(own) - 1)] == g))
+
     def nearest(self, text: np.ndarray, k: int, starts: np.ndarray) -> int | None:
         """Edits between item k and the most similar part of the text around the starts, if within the limit."""
         item, e, best = self.texts[k], self.limit[k], None
@@ -274,7 +286,7 @@ class Items:
             part = text[max(0, int(starts[lo]) - e) : int(starts[hi - 1]) + len(item) + e]
             if item in (raw := part.tobytes()):
                 return 0
-            if e and np.isin(grams(part), self.grams[k]).sum() >= self.need[k] and (d := distance(item, raw)) <= e:
+            if e and self.shared(k, part) >= self.need[k] and (d := distance(item, raw)) <= e:
                 best = d if best is None else min(best, d)
         return best
 
