@@ -40,7 +40,7 @@ from . import textscan as ts
 RATE = 0.05
 GRAM = 8
 DENSE = 64
-WALKS, TABLES, SAMPLED = 6, 16, 4
+WALKS, TABLES, SAMPLED = 4, 24, 4
 RATIO = 1.25
 """Between the longest and the shortest item of a class."""
 LONGEST = 512
@@ -234,8 +234,8 @@ class Items:
         np.add.at(mark, np.minimum(rich + 2 * DENSE + self.inside, len(hit)), -1)
         return np.flatnonzero(np.cumsum(mark[:-1]) > 0)
 
-    def found(self, data: np.ndarray, begin: np.ndarray) -> tuple[list[dict[int, int]], list[tuple]]:
-        """For each document of a normal chunk the short items that it holds; and what may hold others: (document, item,
+    def found(self, data: np.ndarray, begin: np.ndarray, g: np.ndarray) -> tuple[list[dict[int, int]], list[tuple]]:
+        """For each document of a normal chunk with grams g the short items that it holds; and what may hold others: (document, item,
         starts of the windows that met it)."""
         n = len(begin) - 1
         out: list[dict[int, int]] = [{} for _ in range(n)]
@@ -245,7 +245,6 @@ class Items:
             for i in range(n):
                 if b" " + self.texts[k] + b" " in b" " + raw[begin[i] : begin[i + 1] - 1] + b" ":
                     out[i][k] = 0
-        g = grams(data)
         if not len(g) or not self.classes:
             return out, maybe
         hit = self.filter[spot(g)]
@@ -273,20 +272,22 @@ class Items:
             maybe += [(int(of[a]), int(item[a]), np.unique(start[a:b]) - begin[of[a]]) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(of)], strict=True)]
         return out, maybe
 
-    def shared(self, k: int, part: np.ndarray) -> int:
-        """Places of the part that hold a gram of item k."""
-        own, g = self.grams[k], grams(part)
-        return int(np.count_nonzero(own[np.minimum(np.searchsorted(own, g), len(own) - 1)] == g))
+    def shared(self, k: int, g: np.ndarray) -> int:
+        """How many of the grams are item k's."""
+        own = self.grams[k]
+        return int(np.count_nonzero(own.take(own.searchsorted(g), mode="clip") == g))
 
-    def nearest(self, text: np.ndarray, k: int, starts: np.ndarray) -> int | None:
-        """Edits between item k and the most similar part of the text around the starts, if within the limit."""
-        item, e, best = self.texts[k], self.limit[k], None
+    def nearest(self, text: np.ndarray, g: np.ndarray, k: int, starts: np.ndarray) -> int | None:
+        """Edits between item k and the most similar part of a text, with grams g, around the starts, if within the limit."""
+        item, e, need, best = self.texts[k], self.limit[k], self.need[k], None
+        if self.shared(k, g[max(0, starts[0] - e) : starts[-1] + len(item) + e]) < need:
+            return None
         apart = np.flatnonzero(np.append(True, np.diff(starts) > e + 1)).tolist()
         for lo, hi in zip(apart, [*apart[1:], len(starts)], strict=True):
-            part = text[max(0, int(starts[lo]) - e) : int(starts[hi - 1]) + len(item) + e]
-            if item in (raw := part.tobytes()):
+            a, b = max(0, int(starts[lo]) - e), int(starts[hi - 1]) + len(item) + e
+            if item in (raw := text[a:b].tobytes()):
                 return 0
-            if e and self.shared(k, part) >= self.need[k] and (d := distance(item, raw)) <= e:
+            if e and self.shared(k, g[a:b]) >= need and (d := distance(item, raw)) <= e:
                 best = d if best is None else min(best, d)
         return best
 
@@ -294,9 +295,10 @@ class Items:
         out: list[list] = []
         for _, _, raw, offs in ts.chunks(texts):
             data, begin = normal_chunk(raw, offs)
-            found, maybe = self.found(data, begin)
+            g = grams(data)
+            found, maybe = self.found(data, begin, g)
             for d, k, starts in maybe:
-                if (n := self.nearest(data[begin[d] : begin[d + 1] - 1], k, starts)) is not None:
+                if (n := self.nearest(data[begin[d] : begin[d + 1] - 1], g[begin[d] : begin[d + 1] - 1], k, starts)) is not None:
                     found[d][k] = n
             out += [[(self.ids[k], e) for k, e in x.items()] for x in found]
         return out
