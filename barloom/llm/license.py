@@ -8,8 +8,8 @@ window from each of the template's bigrams on is found exactly. Of windows that
 (then that of the highest Dice) names the licence: a text of BSD-3-Clause holds all of BSD-2-Clause. A licence's Dice is the
 highest of its windows.
 
-Templates are notices and short licences, with and without their warranty paragraphs; the long texts of the Apache, CC, GPL
-and MPL licences are not among them, only the notices that refer to them.
+Templates are 38 licences: whole texts of the short ones, with and without their warranty paragraphs, and the notices that refer to
+the long ones (Apache, CC, CDDL, EPL, EUPL, GNU, MPL, OFL), whose own texts are not among them.
 
 Defined cases: null and empty texts and texts of a single word match nothing; rows that repeat an id are separate documents;
 templates that tie are both reported, best names the first by id; an empty table gives an empty result; other columns are
@@ -37,6 +37,26 @@ _MIT_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIN
 _ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
 _ISC_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 
+_BSD_1 = _BSD_2[: _BSD_2.index(" 2. Redist")]
+_BSD_4 = _BSD_2 + " 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization." + _BSD_3[len(_BSD_2) :].replace(" 3. ", " 4. ")
+_MIT_GRANT = _MIT[: _MIT.index(", subject to")]
+_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+_UNLICENSE_REST = "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."
+_ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+_BOOST = "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."
+_BOOST_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_X11 = "Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium."
+_NCSA = "subject to the following conditions: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimers. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimers in the documentation and/or other materials provided with the distribution. Neither the names of the developers nor the names of its contributors may be used to endorse or promote products derived from this Software without specific prior written permission."
+_POSTGRESQL = "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."
+_HPND = "Permission to use, copy, modify and distribute this software and its documentation for any purpose and without fee is hereby granted, provided that the above copyright notice appear in all copies, and that both that the copyright notice and this permission notice appear in supporting documentation."
+_WTFPL = "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."
+_BEER = "As long as you retain this notice you can do whatever you want with this stuff. If we meet some day, and you think this stuff is worth it, you can buy me a beer in return."
+_EUPL = "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the \"Licence\"); You may not use this work except in compliance with the Licence. You may obtain a copy of the Licence at: https://joinup.ec.europa.eu/software/page/eupl Unless required by applicable law or agreed to in writing, software distributed under the Licence is distributed on an \"AS IS\" basis, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the Licence for the specific language governing permissions and limitations under the Licence."
+
+
+def _cc(short: str, full: str) -> tuple[str, str]:
+    return f"Licensed under CC {short}.", f"This work is licensed under a Creative Commons {full} International License."
+
 
 def _gnu(kind: str, version: str, what: str = "program") -> tuple[str, str]:
     """The first paragraph of the notice and the whole notice."""
@@ -53,9 +73,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "BSD-2-Clause": (_BSD_2, f"{_BSD_2} {_BSD_WARRANTY}", "Licensed under the BSD 2-Clause License."),
     "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", _BSD_3, f"{_BSD_3} {_BSD_WARRANTY}"),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC-BY-4.0": _cc("BY 4.0", "Attribution 4.0"),
+    "CC-BY-NC-4.0": _cc("BY-NC 4.0", "Attribution-NonCommercial 4.0"),
+    "CC-BY-NC-ND-4.0": _cc("BY-NC-ND 4.0", "Attribution-NonCommercial-NoDerivatives 4.0"),
+    "CC-BY-NC-SA-4.0": _cc("BY-NC-SA 4.0", "Attribution-NonCommercial-ShareAlike 4.0"),
+    "CC-BY-ND-4.0": _cc("BY-ND 4.0", "Attribution-NoDerivatives 4.0"),
+    "CC-BY-SA-4.0": _cc("BY-SA 4.0", "Attribution-ShareAlike 4.0"),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", *_gnu("General Public License", "2")),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", *_gnu("General Public License", "3")),
@@ -64,7 +87,26 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", *_gnu("Lesser General Public License", "3"), *_gnu("Lesser General Public License", "3", "library")),
     "MIT": ("Released under the MIT License.", _MIT, f"{_MIT} {_MIT_WARRANTY}"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
+    "Unlicense": (_UNLICENSE, f"{_UNLICENSE} {_UNLICENSE_REST} {_MIT_WARRANTY} For more information, please refer to <https://unlicense.org/>"),
+    "0BSD": (f"{_ISC[: _ISC.index(', provided')]}. {_ISC_WARRANTY}",),
+    "Artistic-2.0": ("This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License (2.0).",),
+    "Beerware": (_BEER,),
+    "BSD-1-Clause": (f"{_BSD_1} {_BSD_WARRANTY}",),
+    "BSD-4-Clause": (_BSD_4, f"{_BSD_4} {_BSD_WARRANTY}"),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)", _BOOST, f"{_BOOST} {_BOOST_WARRANTY}"),
+    "CDDL-1.0": ("The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\"). You may not use this file except in compliance with the License.",),
+    "EPL-1.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",),
+    "EUPL-1.2": (_EUPL,),
+    "GFDL-1.3": ("Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts.",),
+    "HPND": (_HPND,),
+    "MIT-0": (f"{_MIT_GRANT}. {_MIT_WARRANTY}",),
+    "NCSA": (f"{_MIT_GRANT.replace('to deal in', 'to deal with')}, {_NCSA}", f"{_MIT_GRANT.replace('to deal in', 'to deal with')}, {_NCSA} {_MIT_WARRANTY}"),
+    "OFL-1.1": ("This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is copied below, and is also available with a FAQ at: https://scripts.sil.org/OFL",),
+    "PostgreSQL": (_POSTGRESQL,),
+    "WTFPL": (_WTFPL,),
+    "X11": (f"{_MIT} {_MIT_WARRANTY} {_X11}",),
+    "Zlib": (_ZLIB,),
 }
 
 NORMAL = np.full(256, 32, np.uint8)
