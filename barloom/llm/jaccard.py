@@ -179,8 +179,12 @@ def column_pairs(percent: int, few: int):
     """The product of a block of columns: candidate pairs, or edges to a column's node where it has many rows."""
 
     def run(it):
+        for rows in ts.by_bucket(it):
+            yield from block(rows)
+
+    def block(rows):
         parts, edges = [], []
-        for batch in it:
+        for batch in rows:
             for kind, n, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 if kind == ENTRY:
                     parts.append(ts.unpack(blob.as_buffer(), n, ENTRY_TYPES))
@@ -334,7 +338,7 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bits: int
     frequent = min(255, round(8 * math.log2(max(few, 4 * mean) + 1)))
     held = spark.sparkContext.broadcast(levels.tobytes())
 
-    cols = rows.mapInArrow(entries(k, percent, held, frequent, 16 * parts), ROWS).repartition(parts, "bucket")
+    cols = rows.mapInArrow(entries(k, percent, held, frequent, 16 * parts), ROWS).repartition(parts, "bucket").sortWithinPartitions("bucket")
     pairs = cols.mapInArrow(column_pairs(percent, few), "u long, v long")
     may = components(pairs)
     sets = per_doc.where("n > 0").groupBy("node").agg(F.min(F.struct("doc", "tag")).alias("first"), F.first("n").alias("n"))
