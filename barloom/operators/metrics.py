@@ -33,10 +33,10 @@ def sortino(x: Column, ppy: float) -> Column:
 
 
 def search_sortino(x: Column, ppy: float) -> Column:
-    """Population deviations, the downside at least a fifth of the whole, within 20."""
-    down = F.sqrt(F.avg(F.when(x < 0, x * x).otherwise(0.0)))
-    whole = F.stddev_pop(x)
-    return F.greatest(F.least(F.avg(x) / (F.greatest(down, 0.2 * whole) + 1e-12) * math.sqrt(ppy), F.lit(20.0)), F.lit(-20.0))
+    """Population deviations: of the negative values, at least a fifth of that of all; within 20."""
+    down = F.coalesce(F.stddev_pop(F.when(x < 0, x)), F.lit(0.0))
+    whole = F.greatest(F.stddev_pop(x), F.lit(1e-8))
+    return F.greatest(F.least(F.avg(x) / F.greatest(down, 0.2 * whole, F.lit(1e-8)) * math.sqrt(ppy), F.lit(20.0)), F.lit(-20.0))
 
 
 def performance(series: DataFrame, ppy: float, by: tuple[str, ...] = ()) -> DataFrame:
