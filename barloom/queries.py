@@ -3,3 +3,4 @@
 from .plans import operator_queries  # noqa: F401
 from .plans import feature_queries  # noqa: F401
 from .plans import report_queries  # noqa: F401
+from .plans import objective_queries  # noqa: F401
