@@ -8,6 +8,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import correlation
+
 # Fixed value: Euler's constant.
 GAMMA = 0.5772156649015329
 _N = NormalDist()
@@ -82,7 +84,7 @@ def correlations(df: DataFrame, names: list[str]) -> dict[tuple[str, str], float
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     if not pairs:
         return {}
-    row = df.agg(*[F.coalesce(F.corr(a, b), F.lit(0.0)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
+    row = df.agg(*[F.coalesce(correlation(a, b), F.lit(0.0)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
     return {p: row[i] for i, p in enumerate(pairs)}
 
 

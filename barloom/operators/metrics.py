@@ -21,6 +21,11 @@ def periods_per_year(panel: DataFrame) -> DataFrame:
     return many.select(F.coalesce(F.least(F.greatest(F.round(upper), F.lit(10.0)), F.lit(600000.0)), F.lit(6240.0)).alias("ppy"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's, null where one side is constant."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x))) * F.stddev_pop(F.when(F.col(x).isNotNull(), F.col(y))), F.lit(0.0))
+
+
 def sharpe(x: Column, ppy: float) -> Column:
     sd = F.stddev_samp(x)
     return F.when(F.coalesce(sd, F.lit(0.0)) < 1e-12, 0.0).otherwise(F.avg(x) / F.nullif(sd, F.lit(0.0)) * math.sqrt(ppy))
@@ -74,7 +79,7 @@ def information(df: DataFrame) -> DataFrame:
         return F.rank().over(by) + (F.count(F.lit(1)).over(Window.partitionBy("symbol", c)) - 1) / 2.0
 
     ranked = df.withColumn("rf", rank("factor")).withColumn("rr", rank("ret"))
-    out = ranked.groupBy("symbol").agg(F.corr("factor", "ret").alias("ic"), F.corr("rf", "rr").alias("rank_ic"), F.stddev_pop("factor").alias("sf"), F.stddev_pop("ret").alias("sr"))
+    out = ranked.groupBy("symbol").agg(correlation("factor", "ret").alias("ic"), correlation("rf", "rr").alias("rank_ic"), F.stddev_pop("factor").alias("sf"), F.stddev_pop("ret").alias("sr"))
     return out.where("sf > 1e-12 and sr > 1e-12").select("symbol", "ic", "rank_ic")
 
 

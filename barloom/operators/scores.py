@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import series
-from .metrics import search_sortino
+from .metrics import correlation, search_sortino
 
 IC_GATE = 0.01
 
@@ -65,7 +65,7 @@ def components(df: DataFrame, ppy: float, cost: float = 3e-4) -> DataFrame:
 def reversal_bonus(df: DataFrame) -> DataFrame:
     """Mean over symbols of 1 - |a| (+ 0.5 where a < 0), within -1 and 2, a the lag-1 autocorrelation of the factor."""
     d = df.withColumn("before", F.lag("factor").over(series())).where("before IS NOT NULL")
-    a = F.coalesce(F.corr("factor", "before"), F.lit(0.0))
+    a = F.coalesce(correlation("factor", "before"), F.lit(0.0))
     per = d.groupBy("symbol").agg(a.alias("a"))
     return per.agg(F.avg(F.greatest(F.least(1 - F.abs("a") + F.when(F.col("a") < 0, 0.5).otherwise(0.0), F.lit(2.0)), F.lit(-1.0))).alias("reversal"))
 
