@@ -5,3 +5,4 @@ from .plans import feature_queries  # noqa: F401
 from .plans import report_queries  # noqa: F401
 from .plans import objective_queries  # noqa: F401
 from .plans import candidate_queries  # noqa: F401
+from .plans import record_queries  # noqa: F401

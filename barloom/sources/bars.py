@@ -124,9 +124,13 @@ def self_check(bars: DataFrame, seconds: int) -> DataFrame:
     )
 
 
-def normal_time(time: Column, largest: Column) -> Column:
-    """Unix seconds from a column whose largest value tells its unit: under 1e7 thousands of seconds, over 1e11 milliseconds."""
-    return F.when(largest < 1e7, time * 1000).when(largest > 1e11, F.floor(time / 1000)).otherwise(time).cast("long")
+def normal_time(time: Column, largest: Column, unit: str = "auto") -> Column:
+    """Unix seconds: of seconds, milliseconds, or by the column's largest value, which under 1e7 tells thousands of seconds."""
+    if unit not in ("auto", "s", "ms"):
+        raise ValueError(f"no unit of time: {unit}")
+    if unit == "ms":
+        return F.floor(time / 1000).cast("long")
+    return (time if unit == "s" else F.when(largest < 1e7, time * 1000).otherwise(time)).cast("long")
 
 
 def decode_candles(rows: DataFrame) -> DataFrame:
@@ -150,3 +154,28 @@ def decode_candles(rows: DataFrame) -> DataFrame:
 
 def on_grid(bars: DataFrame, seconds: int) -> DataFrame:
     return bars.where(F.col("time") % seconds == 0)
+
+
+def sliced(bars: DataFrame, start: int, end: int) -> DataFrame:
+    """Bars start to end - 1 of each symbol."""
+    i = F.row_number().over(Window.partitionBy("symbol").orderBy("time")) - 1
+    return bars.withColumn("__i", i).where((F.col("__i") >= start) & (F.col("__i") < end)).drop("__i")
+
+
+def next_open_gaps(bars: DataFrame) -> DataFrame:
+    """What the next open is above the close, Monday to Friday."""
+    gap = F.lead("open").over(Window.partitionBy("symbol").orderBy("time")) - F.col("close")
+    return bars.select("symbol", "time", gap.alias("gap")).where(F.col("gap").isNotNull() & F.dayofweek(F.timestamp_seconds("time")).between(2, 6))
+
+
+def last_close(bars: DataFrame) -> DataFrame:
+    return bars.groupBy("symbol").agg(F.max("time").alias("time"), F.max_by("close", "time").alias("price"))
+
+
+def average_range(bars: DataFrame, n: int) -> DataFrame:
+    """Bars with atr, the mean true range of the last n; those before a full window go."""
+    w = Window.partitionBy("symbol").orderBy("time")
+    before = F.lag("close").over(w)
+    reach = F.greatest(F.col("high") - F.col("low"), F.coalesce(F.abs(F.col("high") - before), F.lit(0.0)), F.coalesce(F.abs(F.col("low") - before), F.lit(0.0)))
+    last = w.rowsBetween(1 - n, 0)
+    return bars.withColumn("__tr", reach).withColumn("atr", F.avg("__tr").over(last)).withColumn("__n", F.count(F.lit(1)).over(last)).where(F.col("__n") == n).drop("__tr", "__n")
