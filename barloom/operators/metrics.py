@@ -64,12 +64,11 @@ def turnover(df: DataFrame) -> DataFrame:
 
 
 def cost_sensitivity(df: DataFrame, ppy: float, buy: float = 3e-4, sell: float = 3e-4) -> DataFrame:
-    """Performance at multiples of the costs: rows are exploded once, then one grouped pass."""
-    m = F.explode(F.array(*[F.lit(v) for v in MULTIPLES])).alias("multiple")
+    """Performance at multiples of the costs, in which pnl is linear: bars are averaged over symbols once, then repeated."""
     cost = buy * F.greatest(F.col("delta"), F.lit(0.0)) + sell * F.greatest(-F.col("delta"), F.lit(0.0))
-    each = df.select("symbol", "time", "position", "ret", cost.alias("cost"), m)
-    pf = each.groupBy("multiple", "time").agg(F.avg(F.col("position") * F.col("ret") - F.col("multiple") * F.col("cost")).alias("pnl"))
-    return performance(pf, ppy, ("multiple",))
+    bars = df.groupBy("time").agg(F.avg(F.col("position") * F.col("ret")).alias("gross"), F.avg(cost).alias("cost"))
+    each = bars.withColumn("multiple", F.explode(F.array(*[F.lit(v) for v in MULTIPLES])))
+    return performance(each.select("multiple", "time", (F.col("gross") - F.col("multiple") * F.col("cost")).alias("pnl")), ppy, ("multiple",))
 
 
 def information(df: DataFrame) -> DataFrame:

@@ -42,7 +42,9 @@ def clipped(x) -> F.Column:
 
 def normalise(df: DataFrame, column: str = "factor", window: int = 500) -> DataFrame:
     """Adds z-scores in place: over the bar's symbols; for a single symbol over the last window rows, or over all so far if there
-    are fewer. A column that is all but constant stays as it is. One small aggregate decides which, as each needs another plan."""
+    are fewer. A column that is all but constant stays as it is. One small aggregate decides which, as each needs another plan;
+    the rows, which it and the result read, are computed once and spill to disk where memory ends."""
+    df = df.persist()
     facts = df.agg(F.count_distinct("symbol").alias("symbols"), F.count_distinct("time").alias("bars"), F.stddev_pop(column).alias("sd")).first()
     x = F.col(column)
     if facts["sd"] is None or facts["sd"] < 1e-6:
