@@ -3,7 +3,7 @@
 An ARC file is a version block and records of one header line and as many bytes as that line declares. Version 1 lines
 have 5 fields, version 2 lines 10; the length is the last of either, and as an address may hold blanks, fields are split
 from the right. The converter makes up what WARC needs besides: record ids (name-based UUIDs, the same in every run), ISO
-dates from 14 digits, record types and SHA-1 digests of payload and block. Records with equal payloads become one response
+dates from 14 digits, record types (response for HTTP, resource for anything else, as dns: lines) and SHA-1 digests of payload and block. Records with equal payloads become one response
 (smallest page id) and revisits that refer to it.
 
 Files are written by Spark's text writer, whose line separator is the gap that either format has between records, and are
@@ -12,7 +12,8 @@ by spark.sql.files.maxPartitionBytes.
 
 Defined cases: null html is an empty payload; a null url is written as unknown:; blanks, controls and non-ASCII in a url are percent-encoded;
 a null page id stays null and counts as larger than all others; rows that repeat an id and payload are a response and
-revisits of it; a record shorter than its declared length raises ValueError; an empty table gives an empty result; other
+revisits of it; a record shorter than its declared length, or a header line
+with too few fields, raises ValueError; an HTTP head may lack any header; an empty table gives an empty result; other
 columns are not read.
 """
 
@@ -115,8 +116,9 @@ def read_arc(stream) -> Iterator[tuple[int, list[str], bytes]]:
             continue
         text = line.rstrip(b"\r\n").decode("utf-8", "replace")
         is_desc = text.startswith("filedesc://")
-        fields = text.rsplit(" ", 4 if is_desc or version == 1 else 9)
-        if not fields[-1].isdigit():
+        most = 4 if is_desc or version == 1 else 9
+        fields = text.rsplit(" ", most)
+        if len(fields) <= most or not fields[-1].isdigit():
             raise ValueError(f"ARC header line without a length: {text[:200]!r}")
         block = stream.read(int(fields[-1]))
         if len(block) != int(fields[-1]):
@@ -134,10 +136,12 @@ def opened(content: bytes):
 
 
 def parted(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
-    """HTTP head with its blank line, its headers in lower case, payload."""
+    """HTTP head with its blank line, its headers in lower case, payload; a block that isn't HTTP is all payload."""
+    if not block.startswith(b"HTTP/"):
+        return b"", {}, block
     head, gap, payload = block.partition(b"\r\n\r\n")
-    headers = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-    return head + gap, {k.lower(): v for k, v in headers.items()}, payload
+    headers = dict(x.split(":", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ":" in x)
+    return head + gap, {k.strip().lower(): v.strip() for k, v in headers.items()}, payload
 
 
 def page_of(headers: dict[str, str]) -> int | None:
@@ -145,8 +149,9 @@ def page_of(headers: dict[str, str]) -> int | None:
 
 
 def archive_name(path: str) -> str:
-    """The part of a file name that is the same in every run."""
-    return re.match(r"part-\d+", path.rsplit("/", 1)[-1])[0]
+    """The part of a file name that is the same in every run: of our own files the partition, of others all."""
+    name = path.rsplit("/", 1)[-1]
+    return found[0] if (found := re.match(r"part-\d+", name)) else name
 
 
 def index_arcs(it):
@@ -198,9 +203,10 @@ def convert_arcs(it):
                         "WARC-Target-URI": arc[0],
                         "WARC-IP-Address": arc[1],
                         "WARC-Payload-Digest": f"sha1:{digest(payload)}",
-                        "Content-Type": "application/http; msgtype=response",
+                        "Content-Type": "application/http; msgtype=response" if head else arc[3],
+                        "X-Payload-Length": str(len(payload)),
                     }
-                    kind = "response"
+                    kind = "response" if head else "resource"
                     if to := refers.get(n):
                         kind, block = "revisit", head
                         fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(to["archive"], to["to_no"])}
@@ -242,10 +248,11 @@ def read_warcs(it):
                         continue
                     _, http, payload = parted(block)
                     said = headers["warc-payload-digest"].removeprefix("sha1:")
-                    if kind == "response" and (digest(payload) != said or len(payload) != int(http["content-length"])):
+                    size = int(headers["x-payload-length"])
+                    if kind != "revisit" and (digest(payload) != said or len(payload) != size):
                         raise ValueError(f"payload of {headers['warc-record-id']} doesn't match its digest")
                     to = headers.get("x-refers-to-page-id")
-                    yield 200, (page_of(http), int(http["content-length"]), said, kind, int(to) if to else None, headers["warc-record-id"], headers["warc-target-uri"])
+                    yield 200, (page_of(http), size, said, kind, int(to) if to else None, headers["warc-record-id"], headers["warc-target-uri"])
 
     yield from batches(rows(), schema)
 
@@ -257,11 +264,12 @@ def _written(records: DataFrame, gap: str, what: str) -> str:
     path = common.new_path(records.sparkSession, what)
     text = records.select(F.col("value").cast("string").alias("value"))
     text.write.option("lineSep", gap).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    common.drop_at_exit(records.sparkSession, path)
     return path
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return spark.read.format("binaryFile").load(path).select("path", "content")  # names that begin with _ or . are passed over
 
 
 def write_arc(pages: DataFrame, version: int | None = None) -> str:
@@ -283,7 +291,9 @@ def arc_to_warc(spark: SparkSession, arc: str, min_bytes: int = 0) -> str:
         .agg(F.collect_list(F.struct("record_no", F.col("to.page").alias("to_page"), F.col("to.archive").alias("archive"), F.col("to.record_no").alias("to_no"))).alias("revisits"))
     )
     revisits = common.materialise(revisits, "arc-revisits")
-    files = _files(spark, arc).withColumn("of", F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^part-\d+", 0))
+    name = F.element_at(F.split("path", "/"), -1)
+    ours = F.regexp_extract(name, r"^part-\d+", 0)
+    files = _files(spark, arc).withColumn("of", F.when(ours != "", ours).otherwise(name))
     return _written(files.join(revisits, "of", "left").select("path", "content", "revisits").mapInArrow(convert_arcs, "value binary"), WARC_GAP, "warc")
 
 
