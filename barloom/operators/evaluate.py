@@ -29,10 +29,10 @@ def _rank(by: list[str], c: str) -> Column:
 def _mutual(c: DataFrame, bins: int) -> DataFrame:
     """(name, mi) over equally frequent bins of each candidate's factor and of the returns."""
     shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    edges = c.groupBy(F.col("name").alias("__name")).agg(F.array_distinct(F.percentile("factor", shares)).alias("qx"), F.array_distinct(F.percentile("ret", shares)).alias("qy"))
+    edges = c.groupBy(F.col("name").alias("__name")).agg(F.array_distinct(F.percentile("factor", shares)).alias("qx"), F.array_distinct(F.percentile("ret", shares)).alias("qy"), F.max("factor").alias("mx"), F.max("ret").alias("my"))
     met = c.join(edges, F.col("name") == F.col("__name"))
-    bin_of = lambda q, v: F.size(F.filter(q, lambda e: e <= v))
-    cells = met.groupBy("name", bin_of(F.col("qx"), F.col("factor")).alias("bx"), bin_of(F.col("qy"), F.col("ret")).alias("by")).agg(F.count("*").cast("double").alias("n"))
+    bin_of = lambda q, v, most: F.size(F.filter(q, lambda e: (e <= v) & (e < most)))  # noqa: E731 (an edge at the maximum ends the last bin)
+    cells = met.groupBy("name", bin_of(F.col("qx"), F.col("factor"), F.col("mx")).alias("bx"), bin_of(F.col("qy"), F.col("ret"), F.col("my")).alias("by")).agg(F.count("*").cast("double").alias("n"))
     of = lambda *k: F.sum("n").over(Window.partitionBy("name", *k))
     told = cells.withColumn("nx", of("bx")).withColumn("ny", of("by")).withColumn("t", of())
     return told.groupBy("name").agg(F.greatest(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")))), F.lit(0.0)).alias("mi"))

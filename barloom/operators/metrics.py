@@ -89,13 +89,13 @@ def information_ratio(per_symbol: DataFrame) -> DataFrame:
 def mutual_information(df: DataFrame, bins: int) -> DataFrame:
     """Of factor and ret in nats, over equally frequent bins (quantile edges), never below 0."""
     shares = [i / bins for i in range(1, bins)]
-    q = df.agg(F.percentile("factor", F.array(*[F.lit(s) for s in shares])).alias("qx"), F.percentile("ret", F.array(*[F.lit(s) for s in shares])).alias("qy"))
+    q = df.agg(F.percentile("factor", F.array(*[F.lit(s) for s in shares])).alias("qx"), F.percentile("ret", F.array(*[F.lit(s) for s in shares])).alias("qy"), F.max("factor").alias("mx"), F.max("ret").alias("my"))
     met = df.join(F.broadcast(q))  # one row
 
-    def bin_of(edges, v):
-        return F.size(F.filter(F.array_distinct(edges), lambda e: e <= v))
+    def bin_of(edges, v, most):  # an edge at the maximum ends the last bin
+        return F.size(F.filter(F.array_distinct(edges), lambda e: (e <= v) & (e < most)))
 
-    cells = met.groupBy(bin_of(F.col("qx"), F.col("factor")).alias("bx"), bin_of(F.col("qy"), F.col("ret")).alias("by")).agg(F.count("*").cast("double").alias("n"))
+    cells = met.groupBy(bin_of(F.col("qx"), F.col("factor"), F.col("mx")).alias("bx"), bin_of(F.col("qy"), F.col("ret"), F.col("my")).alias("by")).agg(F.count("*").cast("double").alias("n"))
     one = cells.withColumn("nx", F.sum("n").over(Window.partitionBy("bx"))).withColumn("ny", F.sum("n").over(Window.partitionBy("by"))).withColumn("t", F.sum("n").over(Window.partitionBy()))
     return one.agg(F.greatest(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")))), F.lit(0.0)).alias("mi"))
 

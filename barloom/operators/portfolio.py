@@ -58,11 +58,12 @@ def rolling_sharpe(df: DataFrame, bars_per_year: float, by: tuple[str, ...] = ()
     return df.withColumn("rolling_sharpe", F.when(F.count(F.lit(1)).over(w) == n, value))
 
 
-def trades(df: DataFrame, band: float = 0.0) -> DataFrame:
-    """A row per trade of each symbol (gaps and islands on the position's sign): the bar that flattens belongs to the trade it
+def trades(df: DataFrame, band: float = 0.05) -> DataFrame:
+    """A row per trade of each symbol (gaps and islands on the sign of positions of at least band): the bar that flattens belongs to the trade it
     ends, a bar that flips to the new one, flat bars in between to the later one; leading and trailing flat bars to none."""
     w = series()
-    d = F.when(F.col("position") > band, 1).when(F.col("position") < -band, -1).otherwise(0)
+    p = F.col("position")
+    d = F.when((p >= band) & (p > 0), 1).when((p <= -band) & (p < 0), -1).otherwise(0)
     t = df.select("symbol", "time", "pnl", d.alias("d"))
     t = t.withColumn("next", F.lead("d").over(w)).withColumn("prev", F.lag("d").over(w))
     ends = ((F.col("d") != 0) & (F.col("next").isNull() | ((F.col("next") != F.col("d")) & (F.col("next") != 0)))) | ((F.col("d") == 0) & (F.coalesce("prev", F.lit(0)) != 0))

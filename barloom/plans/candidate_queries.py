@@ -30,8 +30,8 @@ SCORES = (
 ps AS (SELECT name, symbol, CASE WHEN stddev_pop(factor) > 1e-12 THEN corr(factor, ret) END AS ic, CASE WHEN stddev_pop(factor) > 1e-12 THEN corr(rf, rr) END AS rank_ic FROM rk GROUP BY name, symbol HAVING stddev_pop(factor) > 1e-12 AND stddev_pop(ret) > 1e-12),
 mn AS (SELECT name, avg(ic) AS ic, avg(rank_ic) AS rank_ic, stddev_pop(rank_ic) AS sp FROM ps GROUP BY name),
 fl AS (SELECT name, stddev_pop(factor) < 1e-8 AS flat FROM c GROUP BY name),
-qe AS (SELECT name, list_distinct(quantile_cont(factor, [{EDGES}])) AS qx, list_distinct(quantile_cont(ret, [{EDGES}])) AS qy FROM c GROUP BY name),
-ce AS (SELECT c.name, len(list_filter(qx, lambda e: e <= factor)) AS bx, len(list_filter(qy, lambda e: e <= ret)) AS bz, count(*)::DOUBLE AS n FROM c JOIN qe ON qe.name = c.name GROUP BY ALL),
+qe AS (SELECT name, list_distinct(quantile_cont(factor, [{EDGES}])) AS qx, list_distinct(quantile_cont(ret, [{EDGES}])) AS qy, max(factor) AS mx, max(ret) AS my FROM c GROUP BY name),
+ce AS (SELECT c.name, len(list_filter(qx, lambda e: e <= factor AND e < mx)) AS bx, len(list_filter(qy, lambda e: e <= ret AND e < my)) AS bz, count(*)::DOUBLE AS n FROM c JOIN qe ON qe.name = c.name GROUP BY ALL),
 cm AS (SELECT name, n, sum(n) OVER (PARTITION BY name, bx) AS nx, sum(n) OVER (PARTITION BY name, bz) AS ny, sum(n) OVER (PARTITION BY name) AS t FROM ce),
 mi AS (SELECT name, greatest(sum(n / t * ln(n * t / (nx * ny))), 0) AS mi FROM cm GROUP BY name),
 sc AS (SELECT name, flat, CASE WHEN flat THEN 0 ELSE ic END AS ic, CASE WHEN flat THEN 0 ELSE rank_ic END AS rank_ic, CASE WHEN flat THEN 0 ELSE rank_ic / sp END AS ir, CASE WHEN flat THEN 0 ELSE mi END AS mi, CASE WHEN NOT flat THEN 0.6 * abs(rank_ic) + 0.4 * mi END AS score FROM fl LEFT JOIN mn USING (name) LEFT JOIN mi USING (name)),

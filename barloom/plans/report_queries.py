@@ -255,7 +255,7 @@ def rolling(spark, sf_dir):
 
 
 TRADES = """,
-d0 AS (SELECT symbol, time, pnl, CASE WHEN position > 0.3 THEN 1 WHEN position < -0.3 THEN -1 ELSE 0 END AS d FROM tr),
+d0 AS (SELECT symbol, time, pnl, CASE WHEN position >= 0.3 THEN 1 WHEN position <= -0.3 THEN -1 ELSE 0 END AS d FROM tr),
 d1 AS (SELECT *, lag(d) OVER w AS prev, lead(d) OVER w AS next FROM d0 WINDOW w AS (PARTITION BY symbol ORDER BY time)),
 d2 AS (SELECT *, (d <> 0 AND (next IS NULL OR (next <> d AND next <> 0))) OR (d = 0 AND coalesce(prev, 0) <> 0) AS fin FROM d1),
 d3 AS (SELECT *, coalesce(sum(fin::INT) OVER (PARTITION BY symbol ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS trade_id, max(abs(d)) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING) AS begun FROM d2),
@@ -329,8 +329,8 @@ EDGES = ", ".join(f"{i}/10.0" for i in range(1, 10))
 @register(
     "mutual_information",
     TRADED
-    + f""", q AS (SELECT list_distinct(quantile_cont(factor, [{EDGES}])) AS qx, list_distinct(quantile_cont(ret, [{EDGES}])) AS qy FROM tr),
-b AS (SELECT len(list_filter(qx, lambda e: e <= factor)) AS bx, len(list_filter(qy, lambda e: e <= ret)) AS by_, count(*)::DOUBLE AS n FROM tr, q GROUP BY ALL),
+    + f""", q AS (SELECT list_distinct(quantile_cont(factor, [{EDGES}])) AS qx, list_distinct(quantile_cont(ret, [{EDGES}])) AS qy, max(factor) AS mx, max(ret) AS my FROM tr),
+b AS (SELECT len(list_filter(qx, lambda e: e <= factor AND e < mx)) AS bx, len(list_filter(qy, lambda e: e <= ret AND e < my)) AS by_, count(*)::DOUBLE AS n FROM tr, q GROUP BY ALL),
 m AS (SELECT n, sum(n) OVER (PARTITION BY bx) AS nx, sum(n) OVER (PARTITION BY by_) AS ny, sum(n) OVER () AS t FROM b) SELECT round(greatest(sum(n / t * ln(n * t / (nx * ny))), 0), 5) AS mi FROM m""",
 )
 def mi(spark, sf_dir):
