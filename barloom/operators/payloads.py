@@ -1,4 +1,4 @@
-"""A back-test as one JSON text: series of a portfolio (a number per bar, however many symbols) and its first trades."""
+"""JSON texts: a back-test (series of a portfolio, a number per bar however many symbols, and its first trades); specs, a line each."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SPEC_VERSION = 1
+SPEC = "spec_version int, name string, payload struct<kind: string, tokens: array<int>, vocab_version: string>, evidence struct<train: double, val: double, verdict: string>, notes string"
 DIGITS = 6
 TRADES = 200
 
@@ -26,3 +28,22 @@ def payload(equity: DataFrame, trades: DataFrame, meta: dict, most: int = TRADES
     detail = first.agg(F.sort_array(F.collect_list(one)).alias("t")).select(F.slice("t", 1, most).alias("trades"), (F.size("t") > most).alias("trades_truncated"))
     told_ = F.to_json(F.struct(F.from_json(F.lit(json.dumps(meta)), "map<string,string>").alias("meta"), "series", "trades", "trades_truncated"), {"ignoreNullFields": "false"})
     return series.join(F.broadcast(detail)).select(told_.alias("payload"))  # a row on both sides
+
+
+def specs_json(specs: DataFrame, vocab_version: str) -> DataFrame:
+    """(name, spec) of specs (name, tokens, train, val, verdict, notes); fields that are null are written."""
+    body = F.struct(
+        F.lit(SPEC_VERSION).alias("spec_version"),
+        "name",
+        F.struct(F.lit("formula").alias("kind"), "tokens", F.lit(vocab_version).alias("vocab_version")).alias("payload"),
+        F.struct(told("train").alias("train"), told("val").alias("val"), "verdict").alias("evidence"),
+        "notes",
+    )
+    return specs.select("name", F.to_json(body, {"ignoreNullFields": "false"}).alias("spec"))
+
+
+def read_specs(texts: DataFrame) -> DataFrame:
+    """Specs of JSON texts (spec) that are of this version and name tokens; others are left out."""
+    s = texts.select(F.from_json("spec", SPEC).alias("s"))
+    ok = (F.col("s.spec_version") == SPEC_VERSION) & (F.size("s.payload.tokens") > 0)
+    return s.where(ok).select("s.name", "s.payload.tokens", "s.evidence.train", "s.evidence.val", "s.evidence.verdict", "s.notes")

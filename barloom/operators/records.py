@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DAY = 86400
@@ -87,3 +89,19 @@ def fingerprint(panel: DataFrame, block: int = 1024) -> DataFrame:
     part = each.groupBy("symbol", "block").agg(F.sha2(F.concat_ws(";", F.transform(F.sort_array(F.collect_list(F.struct("i", "row"))), lambda x: x["row"])), 256).alias("d"), F.count("*").alias("n"))
     whole = part.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("block", "d"))).alias("ds"), F.sum("n").alias("n_bars"))
     return whole.select("symbol", "n_bars", F.sha2(F.concat_ws(":", F.transform("ds", lambda x: x["d"])), 256).alias("digest"))
+
+
+def seal(spark: SparkSession, path: str, digest: str, note: str = "") -> None:
+    """Marks a hold-out as used, once: its file is created only if there is none, so of two that try one fails."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(f"{path.rstrip('/')}/{digest}.json")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise ValueError(f"hold-out {digest} was used before")
+    out = fs.create(target, False)
+    out.write(bytearray(json.dumps({"fingerprint": digest, "note": note}).encode()))
+    out.close()
+
+
+def seals(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("fingerprint string, note string").json(path)

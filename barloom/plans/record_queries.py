@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import compare, metrics, portfolio, records, scores
+from ..functions import formula
+from ..functions.expr import E, Env
+from ..operators import compare, metrics, payloads, portfolio, records, scores
 from ..registry import register
 from ..sources import bars, exchanges
 from .report_queries import PPY, SECOND, TRADED, WITH, hourly, perturbed, r6, traded
@@ -221,9 +223,29 @@ def gated(spark, sf_dir):
 )
 def payload(spark, sf_dir):
     """The payload's JSON, read back."""
-    from ..operators import payloads
-
     text = payloads.payload(portfolio.equity(portfolio.portfolio(traded(spark, sf_dir))), portfolio.trades(traded(spark, sf_dir), 0.3), {"ppy": PPY})
     back = text.select(F.from_json("payload", "series struct<time: array<bigint>, equity: array<double>, drawdown: array<double>>").alias("p"))
     total = lambda c, t: F.aggregate(F.col(f"p.series.{c}"), F.lit(0).cast(t), lambda a, x: a + x)
     return r6(back.select(F.size("p.series.time").cast("long").alias("n_bars"), total("time", "bigint").alias("time"), total("equity", "double").alias("equity"), total("drawdown", "double").alias("drawdown")), "equity", "drawdown", digits=4)
+
+
+@register(
+    "spec_round_trip",
+    PART + " SELECT name, size % 65 AS first, round(score / 1000, 6) AS train, CASE WHEN id % 4 = 0 THEN NULL ELSE round(score / 2000, 6) END AS val, verdict FROM s",
+)
+def spec_round_trip(spark, sf_dir):
+    """Specs to JSON and back, with a broken text and one of another version among them."""
+    p = part(spark, sf_dir)
+    specs = p.select("name", F.array((F.col("size") % 65).cast("int"), F.lit(1)).alias("tokens"), (F.col("score") / 1000).alias("train"), F.when(F.col("id") % 4 != 0, F.col("score") / 2000).alias("val"), "verdict", F.lit(None).cast("string").alias("notes"))
+    texts = payloads.specs_json(specs, "v1").unionByName(spark.createDataFrame([("x", "{broken"), ("y", '{"spec_version": 9, "payload": {"tokens": [1]}}')], "name string, spec string"))
+    return payloads.read_specs(texts).select("name", F.col("tokens")[0].alias("first"), "train", "val", "verdict")
+
+
+@register(
+    "gate_dead_band",
+    WITH + ", d AS (SELECT *, close / open - 1 AS c FROM bars), e AS (SELECT *, last_value(CASE WHEN c > 0.3 THEN 1.0 WHEN c < -0.3 THEN 0.0 END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING) AS h FROM d) SELECT symbol, time, round(coalesce(h, 0) * high + (1 - coalesce(h, 0)) * low, 6) + 0.0 AS v FROM e",
+)
+def gate_dead_band(spark, sf_dir):
+    env = Env(hourly(spark, sf_dir).withColumn("c", F.col("close") / F.col("open") - 1))
+    gated = formula.gate_with_dead_band(env, E(F.col("c"), 0, True), env["high"], env["low"], 0.3)
+    return r6(env.frame({"v": gated}), "v")

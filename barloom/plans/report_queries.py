@@ -88,8 +88,11 @@ def price_filter(spark, sf_dir):
 @register(
     "bars_self_check",
     WITH
-    + ", s AS (SELECT *, time - lag(time) OVER (PARTITION BY symbol ORDER BY time) AS step FROM bars), q AS (SELECT symbol, quantile_cont(close, 0.25) AS a, quantile_cont(close, 0.75) AS b FROM bars GROUP BY symbol)"
-    " SELECT symbol, count(*) AS n_bars, count(*) FILTER (step > 5400) AS n_gaps, count(*) FILTER (close < a - 3 * (b - a) OR close > b + 3 * (b - a)) AS n_outliers, count(*) FILTER (volume = 0) AS n_no_volume FROM s JOIN q USING (symbol) GROUP BY symbol",
+    + ", s AS (SELECT *, time - lag(time) OVER (PARTITION BY symbol ORDER BY time) AS step FROM bars), q AS (SELECT symbol, "
+    + ", ".join(f"quantile_cont({c}, 0.25) AS a_{c}, quantile_cont({c}, 0.75) AS b_{c}" for c in ("open", "high", "low", "close"))
+    + " FROM bars GROUP BY symbol) SELECT symbol, count(*) AS n_bars, count(*) FILTER (step > 5400) AS n_gaps, "
+    + ", ".join(f"count(*) FILTER ({c} < a_{c} - 3 * (b_{c} - a_{c}) OR {c} > b_{c} + 3 * (b_{c} - a_{c})) AS n_outliers_{c}" for c in ("open", "high", "low", "close"))
+    + ", count(*) FILTER (volume = 0) AS n_no_volume FROM s JOIN q USING (symbol) GROUP BY symbol",
 )
 def self_check(spark, sf_dir):
     return bars.self_check(hourly(spark, sf_dir), HOUR)

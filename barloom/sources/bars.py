@@ -107,18 +107,23 @@ def price_filter(bars: DataFrame, low: float = 100.0, high: float = 10000.0) ->
 
 
 def self_check(bars: DataFrame, seconds: int) -> DataFrame:
-    """Per symbol: bars, gaps over 1.5 periods, closes beyond 3 interquartile ranges, bars without volume."""
+    """Per symbol: bars, gaps over 1.5 periods, prices of each column beyond 3 of its interquartile ranges, bars without volume."""
     w = Window.partitionBy("symbol").orderBy("time")
     step = bars.withColumn("step", F.col("time") - F.lag("time").over(w))
-    q = bars.groupBy("symbol").agg(F.percentile("close", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    span = F.col("q")[1] - F.col("q")[0]
+    prices = BAR[:4]
+    q = bars.groupBy("symbol").agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{c}") for c in prices])
+
+    def outlying(c):
+        low, high = F.col(f"q_{c}")[0], F.col(f"q_{c}")[1]
+        return F.count_if((F.col(c) < low - 3 * (high - low)) | (F.col(c) > high + 3 * (high - low))).alias(f"n_outliers_{c}")
+
     return (
         step.join(q, "symbol")
         .groupBy("symbol")
         .agg(
             F.count("*").alias("n_bars"),
             F.count_if(F.col("step") > 1.5 * seconds).alias("n_gaps"),
-            F.count_if((F.col("close") < F.col("q")[0] - 3 * span) | (F.col("close") > F.col("q")[1] + 3 * span)).alias("n_outliers"),
+            *[outlying(c) for c in prices],
             F.count_if(F.col("volume") == 0).alias("n_no_volume"),
         )
     )
