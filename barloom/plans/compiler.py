@@ -11,6 +11,7 @@ from ..functions import features, formula, vocabulary
 from ..functions.expr import E, Env, cross, series, settle
 
 CLIP = 3.0
+_HELD: list[DataFrame] = []
 
 
 def compile_formula(env: Env, tokens: Sequence[int], dead_band: float = 0.0) -> E | None:
@@ -40,11 +41,22 @@ def clipped(x) -> F.Column:
     return F.greatest(F.least(x, F.lit(CLIP)), F.lit(-CLIP))
 
 
+def held(df: DataFrame, most: int = 2) -> DataFrame:
+    """df, kept after its first use; of those kept before, the session lets go of all but the latest (results that still read one
+    compute it again)."""
+    spark = df.sparkSession
+    mine = [d for d in _HELD if d.sparkSession is spark]
+    for old in mine[: max(0, len(mine) + 1 - most)]:
+        old.unpersist()
+    _HELD[:] = [*mine[max(0, len(mine) + 1 - most) :], df.persist()]
+    return df
+
+
 def normalise(df: DataFrame, column: str = "factor", window: int = 500) -> DataFrame:
     """Adds z-scores in place: over the bar's symbols; for a single symbol over the last window rows, or over all so far if there
     are fewer. A column that is all but constant stays as it is. One small aggregate decides which, as each needs another plan;
     the rows, which it and the result read, are computed once and spill to disk where memory ends."""
-    df = df.persist()
+    df = held(df)
     facts = df.agg(F.count_distinct("symbol").alias("symbols"), F.count_distinct("time").alias("bars"), F.stddev_pop(column).alias("sd")).first()
     x = F.col(column)
     if facts["sd"] is None or facts["sd"] < 1e-6:

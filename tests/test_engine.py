@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barloom import registry
 from barloom.functions import features, formula, vocabulary
@@ -154,3 +155,11 @@ def test_entry_runs(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 1
+
+
+def test_few_frames_are_kept(spark):
+    rows = [(s, t, float(t * k % 7)) for k, s in enumerate("abc") for t in range(30)]
+    frames = [spark.createDataFrame(rows, "symbol string, time long, factor double").withColumn("factor", F.col("factor") + k) for k in range(4)]
+    got = [compiler.normalise(f) for f in frames]
+    assert [f.is_cached for f in frames[-2:]] == [True, True] and len(compiler._HELD) == 2
+    assert all(g.count() == 90 for g in got)
