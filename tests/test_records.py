@@ -45,3 +45,12 @@ def test_drawdown_over_symbols_laid_end_to_end(spark):
     worst = max(max(cum[: i + 1]) - cum[i] for i in range(len(cum)))
     got = objective.parts(df, 1.0).select("calmar", "half_consistency", "turnover_quality", F.lit(1)).first()
     assert abs(got["calmar"] - sum(flat) / len(flat) / worst) < 1e-9 and got["half_consistency"] == 0.0 and got["turnover_quality"] == -2.0
+
+
+def test_orders_without_an_intent_or_a_fill(spark):
+    from barloom.operators import compare
+
+    intents = spark.createDataFrame([(1, 2.0), (2, 1.0), (4, 3.0)], "order_id long, lots double")
+    fills = spark.createDataFrame([(1, 1.5), (1, 0.5), (3, 1.0), (4, 1.0)], "order_id long, lots double")
+    got = {r["order_id"]: r["status"] for r in compare.reconcile(intents, fills).collect()}
+    assert got == {1: "matched", 2: "no_fill", 3: "no_intent", 4: "lots_differ"}
