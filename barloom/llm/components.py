@@ -62,7 +62,7 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge, the component named by its smallest node. edges: two long columns u, v."""
-    held = edges.where("u <> v").select("u", "v").mapInArrow(contract, "u long, v long")
+    held = edges.where("u <> v").select("u", "v").mapInArrow(common.trimmed(contract), "u long, v long")
     now = common.materialise(held.distinct(), "edges")
     before = _state(now)
     while before[0]:
@@ -73,8 +73,9 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: the smaller neighbours of u, and u, meet the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).where("u <> v")
-        now = common.materialise(small.distinct(), "edges")
+        last, now = now, common.materialise(small.distinct(), "edges")
         after = _state(now)
+        common.let_go(edges.sparkSession, last)
         if after == before:
             break
         before = after

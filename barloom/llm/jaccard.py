@@ -9,8 +9,13 @@ only those entries are shuffled, each block of columns to one task. There
    sketch already shows to be frequent do so in the map task and are never gathered.
 The pairs' components hold every link. Each component's texts meet once, cut into chunks of bounded size, and the product
 of a chunk accumulates exact overlap counts, a row at a time against all rows that aren't in its component yet: rows of the
-smallest component come first, so that a group of near copies takes a few rows, not all pairs. Where a component has
-several chunks, the rows outside its largest linked part go to each of the chunks in a second product.
+smallest component come first, so that a group of near copies takes a few rows, not all pairs.
+
+The sketch has a fixed size, so in large inputs shingles of some hundred rows pass for rare and glue texts of one boilerplate
+together. A component of several chunks is therefore taken apart first, by exact counts of its shingles: a linked set shares
+at least s n of its n shingles with others (a sample of the shingles already shows most sets that can't), and the sets that
+do get their prefix, columns and components again, ordered by those counts. Where a component still has several chunks, the
+rows outside its largest linked part go to each of the chunks in a second product.
 
 Defined cases: null, blank and word-less texts have no shingles and link with nothing; a text of 1 to 4 words is one
 shingle; rows with equal id and text link with each other and get equal results; a null id counts as larger than all others and comes back
@@ -24,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +48,11 @@ FEW = 128
 BLOCK = 1 << 21
 CHUNK_SHINGLES = 1 << 21
 ENTRY_TYPES = ["u8", "i8", "i4", "i4"]  # shingle, set, size, place
-DOC, SKETCH, ENTRY, EDGE = 0, 1, 2, 3
+DOC, SKETCH, ENTRY, EDGE, SIZE = 0, 1, 2, 3, 4
+SAMPLE = 96
+"""Shingles, of 256, whose counts are taken first in components of several chunks."""
+SHARED_TYPES = ["i8", "u8", "i4"]  # set, shingle, rows
+SIZE_TYPES = ["i8", "i4", "i4"]  # set, size, shingles counted
 STATS = "kind byte, doc long, tag int, n long, node long, bucket int, blob binary"
 STATS_ARROW = pa.schema([("kind", pa.int8()), ("doc", pa.int64()), ("tag", pa.int32()), ("n", pa.int64()), ("node", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 PAIRS_ARROW = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -315,10 +325,170 @@ def groups_links(k: int, percent: int):
     return run
 
 
-def tagged_texts(it):
+def shared_entries(k: int, buckets: int, sample: int, some: Broadcast | None):
+    """Batches of (node, component, text) to blobs of (shingle of the component, node) by shingle, and of sizes by node.
+    sample: of 256 shingles so many; some: a filter of the nodes to take."""
+
+    def block(parts):
+        key, node = ts.concat(parts, ["u8", "i8"])
+        for b, n, blob in ts.bucketed(ts.bucket_of(key, buckets), [key, node]):
+            yield ENTRY, b, n, blob
+
+    def rows(it):
+        parts, held = [], 0
+        for batch in it:
+            if some is not None:
+                batch = batch.filter(pa.array(common.passes(batch.column(0).to_numpy(), some.value)))
+            nodes, groups = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, hi, data, offs in ts.chunks(batch.column(2)):
+                values, cuts = shingle_sets(data, offs, k)
+                size = np.diff(cuts)
+                row = np.repeat(np.arange(hi - lo), size)
+                key = ts.mix(values ^ ts.mix(groups[lo:hi].view(np.uint64))[row])
+                taken = key >> np.uint64(56) < sample
+                key, row = key[taken], row[taken]
+                counted = np.bincount(row, minlength=hi - lo).astype(np.int32)
+                for b, n, blob in ts.bucketed(ts.bucket_of(nodes[lo:hi].view(np.uint64), buckets), [nodes[lo:hi], size.astype(np.int32), counted]):
+                    yield SIZE, b, n, blob
+                parts.append([key, nodes[lo:hi][row]])
+                held += len(key)
+                if held >= BLOCK:
+                    yield from block(parts)
+                    parts, held = [], 0
+        if held:
+            yield from block(parts)
+
+    return lambda it: to_batches(rows(it), ROWS_ARROW)
+
+
+def shared_counts(buckets: int):
+    """Blocks of shingles to blobs, by node, of those that several nodes have, with the number of these; sizes go on as they are."""
+
+    def block(parts):
+        node, key, df = ts.concat(parts, SHARED_TYPES)
+        for b, n, blob in ts.bucketed(ts.bucket_of(node.view(np.uint64), buckets), [node, key, df]):
+            yield ENTRY, b, n, blob
+
+    def rows(it):
+        parts, held = [], 0
+        for batches in ts.by_bucket(it):
+            entry = []
+            for batch in batches:
+                for kind, b, n, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+                    if kind == SIZE:
+                        yield kind, b, n, blob.as_py()
+                    else:
+                        entry.append(ts.unpack(blob.as_buffer(), n, ["u8", "i8"]))
+            key, node = ts.concat(entry, ["u8", "i8"])
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            once = ts.new_group(key, node)
+            key, node = key[once], node[once]
+            cut = np.flatnonzero(ts.new_group(key))
+            df = np.diff(np.append(cut, len(key)))
+            df = np.repeat(df, df)
+            parts.append([node[df > 1], key[df > 1], df[df > 1].astype(np.int32)])
+            held += len(parts[-1][0])
+            if held >= BLOCK:
+                yield from block(parts)
+                parts, held = [], 0
+        if held:
+            yield from block(parts)
+
+    return lambda it: to_batches(rows(it), ROWS_ARROW)
+
+
+def able_nodes(batches: list, percent: int) -> tuple[np.ndarray, ...]:
+    """Of a bucket of nodes: (nodes, size, shingles counted that no other has, able to link at all), and (place of the node, shingle, rows) of shared shingles."""
+    sizes, entry = [], []
+    for batch in batches:
+        for kind, n, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            (sizes if kind == SIZE else entry).append(ts.unpack(blob.as_buffer(), n, SIZE_TYPES if kind == SIZE else SHARED_TYPES))
+    node, size, counted = ts.concat(sizes, SIZE_TYPES)
+    node, first = np.unique(node, return_index=True)
+    size, counted = size[first].astype(np.int64), counted[first].astype(np.int64)
+    whose, key, df = ts.concat(entry, SHARED_TYPES)
+    at = np.searchsorted(node, whose)
+    own = counted - np.bincount(at, minlength=len(node))
+    return node, size, own, (size > 0) & (own < prefix_lengths(size, percent)), at, key, df
+
+
+def sampled_able(percent: int):
+    def run(it):
+        for batches in ts.by_bucket(it):
+            node, _, _, able, *_ = able_nodes(batches, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(node[able])], names=["node"])
+
+    return run
+
+
+def counted_entries(percent: int, buckets: int):
+    """Entries, as of entries(), of the able nodes of a component, columns in the order of their exact counts."""
+
+    def rows(it):
+        for batches in ts.by_bucket(it):
+            node, size, own, able, at, key, df = able_nodes(batches, percent)
+            order = np.lexsort((key, df, at))
+            order = order[able[at[order]]]
+            at, key = at[order], key[order]
+            fresh = np.flatnonzero(ts.new_group(at))
+            place = own[at] + np.arange(len(at)) - np.repeat(fresh, np.diff(np.append(fresh, len(at))))
+            first = place < prefix_lengths(size, percent)[at]
+            at, key, place = at[first], key[first], place[first]
+            if not len(key):
+                continue
+            for b, n, blob in ts.bucketed(ts.bucket_of(key, buckets), [key, node[at], size[at].astype(np.int32), place.astype(np.int32)]):
+                yield ENTRY, b, n, blob
+
+    return lambda it: to_batches(rows(it), ROWS_ARROW)
+
+
+def apart(big: DataFrame, k: int, percent: int, few: int) -> DataFrame:
+    """(node, component) of the nodes of (node, component, text) that can link within their component, in smaller components that hold every link."""
+    spark = big.sparkSession
+    parts = common.partitions(spark)
+    rows = big.select("node", "component", "text")
+    dealt = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    counts = lambda sample, some: dealt(dealt(rows.mapInArrow(common.trimmed(shared_entries(k, 16 * parts, sample, some)), ROWS)).mapInArrow(common.trimmed(shared_counts(16 * parts)), ROWS))
+    may = common.materialise(counts(SAMPLE, None).mapInArrow(common.trimmed(sampled_able(percent)), "node long"), "jaccard-able")
+    common.let_go(spark)
+    some = spark.sparkContext.broadcast(common.key_filter(may))
+    cols = dealt(counts(256, some).mapInArrow(common.trimmed(counted_entries(percent, 16 * parts)), ROWS))
+    found = components(cols.mapInArrow(common.trimmed(column_pairs(percent, few)), "u long, v long"))
+    fine = common.materialise(found.join(may.distinct(), "node", "left_semi"), "jaccard-apart")
+    common.let_go(spark, may)
+    return fine
+
+
+def row_keys(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    return ts.mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + tag.astype(np.int64).view(np.uint64)).view(np.int64)
+
+
+def keyed_rows(it):
     for batch in it:
-        tags = [ts.doc_tags(data, offs) for _, _, data, offs in ts.chunks(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(np.concatenate(tags) if tags else np.zeros(0, np.int32), pa.int32())], names=["doc", "text", "tag"])
+        yield pa.RecordBatch.from_arrays([pa.array(row_keys(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], names=["key"])
+
+
+def tagged_texts(some: Broadcast):
+    """Batches of (doc, text) to (doc, text, tag) of the rows whose key passes the filter."""
+
+    def run(it):
+        for batch in it:
+            tags = [ts.doc_tags(data, offs) for _, _, data, offs in ts.chunks(batch.column(1))]
+            tag = np.concatenate(tags) if tags else np.zeros(0, np.int32)
+            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(tag, pa.int32())], names=["doc", "text", "tag"])
+            yield out.filter(pa.array(common.passes(row_keys(doc, tag), some.value)))
+
+    return run
+
+
+def passing_nodes(some: Broadcast):
+    def run(it):
+        for batch in it:
+            yield batch.filter(pa.array(common.passes(batch.column("node").to_numpy(), some.value)))
+
+    return run
 
 
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bits: int = SKETCH_BITS, few: int = FEW, chunk: int = CHUNK_SHINGLES) -> DataFrame:
@@ -327,10 +497,10 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bits: int
     spark = docs.sparkSession
     parts = common.partitions(spark)
     rows = docs.select(common.id_key().alias("doc"), F.col("text").cast("string").alias("text"))
-    seen = common.materialise(rows.mapInArrow(stats(k, bits), STATS), "jaccard-stats")
+    seen = common.materialise(rows.mapInArrow(common.trimmed(stats(k, bits)), STATS), "jaccard-stats")
     per_doc = seen.where(F.col("kind") == DOC).select("doc", "tag", "n", "node")
     # the sketch has 2**bits counters whatever the input, and 1 byte of each comes to the driver
-    sketch = seen.where(F.col("kind") == SKETCH).select("bucket", "n", "blob").repartition(min(parts, 1 << max(0, bits - 16)), "bucket").mapInArrow(summed, "bucket int, n long, blob binary").collect()
+    sketch = seen.where(F.col("kind") == SKETCH).select("bucket", "n", "blob").repartition(min(parts, 1 << max(0, bits - 16)), "bucket").mapInArrow(common.trimmed(summed), "bucket int, n long, blob binary").collect()
     levels = np.zeros(1 << bits, np.uint8)
     for r in sketch:
         levels[r["bucket"] * SLICE : r["bucket"] * SLICE + len(r["blob"])] = np.frombuffer(r["blob"], np.uint8)
@@ -338,27 +508,48 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bits: int
     frequent = min(255, round(8 * math.log2(max(few, 4 * mean) + 1)))
     held = spark.sparkContext.broadcast(levels.tobytes())
 
-    cols = rows.mapInArrow(entries(k, percent, held, frequent, 16 * parts), ROWS).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    pairs = cols.mapInArrow(column_pairs(percent, few), "u long, v long")
+    cols = rows.mapInArrow(common.trimmed(entries(k, percent, held, frequent, 16 * parts)), ROWS).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    pairs = cols.mapInArrow(common.trimmed(column_pairs(percent, few)), "u long, v long")
     may = components(pairs)
     sets = per_doc.where("n > 0").groupBy("node").agg(F.min(F.struct("doc", "tag")).alias("first"), F.first("n").alias("n"))
     groups = common.materialise(may.join(sets, "node").select("node", "component", "n", F.col("first.doc").alias("doc"), F.col("first.tag").alias("tag")), "jaccard-groups")
+    common.let_go(spark)
     cuts = groups.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(chunk)).alias("chunks"), F.count("*").alias("m")).where("m > 1")
-    cut = groups.join(cuts, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    cut = cut.select("doc", "tag", "node", "component", "chunks", "chunk", F.xxhash64("component", "chunk").alias("part"))
-    texts = rows.mapInArrow(tagged_texts, "doc long, text string, tag int")
-    # one plan at every size: texts are dealt by document, never against a broadcast list that grows with the input
-    met = common.materialise(texts.join(cut.hint("merge"), ["doc", "tag"]), "jaccard-met")
+    cut = common.materialise(groups.join(cuts, "component").select("doc", "tag", "node", "component", "n", "chunks"), "jaccard-cut")
+    # one plan at every size: texts are dealt by document, never against a broadcast list that grows with the input; the filter is bounded
+    wanted = spark.sparkContext.broadcast(common.key_filter(cut.select("doc", "tag").mapInArrow(keyed_rows, "key long")))
+    texts = rows.mapInArrow(common.trimmed(tagged_texts(wanted)), "doc long, text string, tag int")
+    met = common.materialise(texts.join(cut.hint("merge"), ["doc", "tag"]).select("node", "component", "n", "chunks", "text"), "jaccard-met")
+    common.let_go(spark, cut, groups)
+    done = [seen, met]
+
+    def chunked(of: DataFrame) -> DataFrame:
+        of = of.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+        return of.select("node", "component", "chunks", "chunk", F.xxhash64("component", "chunk").alias("part"), "text")
 
     def links(of: DataFrame) -> DataFrame:
-        return of.select("part", "node", "label", "text").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(groups_links(k, percent), "u long, v long")
-
-    found = common.materialise(links(met.withColumn("label", F.col("node"))), "jaccard-links")
+        return of.select("part", "node", "label", "text").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(common.trimmed(groups_links(k, percent)), "u long, v long")
+
+    every, several = chunked(met.where("chunks = 1")), None
+    large = met.where("chunks > 1")
+    if not large.isEmpty():
+        fine = apart(large, k, percent, few)
+        some = spark.sparkContext.broadcast(common.key_filter(fine.select("node")))
+        again = large.select("node", "n", "text").mapInArrow(common.trimmed(passing_nodes(some)), "node long, n long, text string").join(fine.hint("merge"), "node")
+        again = common.materialise(again, "jaccard-again")
+        sizes = again.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(chunk)).alias("chunks"))
+        several = common.materialise(chunked(again.join(sizes, "component")), "jaccard-several")
+        common.let_go(spark, fine, again)
+        done.append(several)
+        every, several = every.unionByName(several), several.where("chunks > 1")
+    found = common.materialise(links(every.withColumn("label", F.col("node"))), "jaccard-links")
+    common.let_go(spark)
+    done.append(found)
     joined = components(found)
-    several = met.where("chunks > 1")
-    if not several.isEmpty():
+    if several is not None and not several.isEmpty():
         lab = several.join(joined, "node", "left").withColumn("label", F.coalesce(joined["component"], "node")).drop(joined["component"])
         lab = common.materialise(lab, "jaccard-labelled")
+        done.append(lab)
         size = lab.groupBy(F.col("component").alias("c"), "label").count()
         largest = size.groupBy("c").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
         strays = lab.join(largest, F.col("component") == F.col("c")).where("label <> largest").drop("c", "largest")
@@ -367,6 +558,7 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bits: int
         joined = components(found)
     named = per_doc.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     named = common.materialise(named, "jaccard-named")
+    common.let_go(spark, *done)
     least = named.where("n > 0").groupBy("c").agg(F.min(F.struct("doc", "tag")).alias("least"))
     linked = F.col("n") > 0
     return named.join(least, "c", "left").select(
@@ -385,6 +577,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     id and text of a kept one all but one go: that with the smallest other columns stays."""
     rest = classes(docs, **how).where(((F.col("component") != F.col("doc")) | (F.col("first_tag") != F.col("tag"))) & (F.col("n_shingles") > 0)).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).distinct()
     rest = common.materialise(rest, "jaccard-rest")
+    common.let_go(docs.sparkSession)
     at = docs.columns.index("text")
 
     def tagged(it):
@@ -394,7 +587,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(tags) if tags else np.zeros(0, np.int32), pa.int32())], names=[*batch.schema.names, "__tag"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__tag", T.IntegerType())])
-    whole = docs.mapInArrow(tagged, schema).withColumn("__doc", common.id_key())
+    whole = docs.mapInArrow(common.trimmed(tagged), schema).withColumn("__doc", common.id_key())
     kept = whole.join(rest.hint("merge"), ["__doc", "__tag"], "left_anti")
     by = F.struct(*[F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != "text" and not isinstance(f.dataType, T.MapType)])
     one = kept.groupBy("__doc", "__tag").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), by).alias("__row"))
