@@ -27,8 +27,8 @@ def summary(specs: DataFrame) -> DataFrame:
 
 
 def top_per_file(rows: DataFrame, k: int) -> DataFrame:
-    """The k best of each file, with their place in it."""
-    w = Window.partitionBy("file").orderBy(F.desc("score"), "name")
+    """The k best of each file, with their place in it; of equal score and name the smallest id comes first."""
+    w = Window.partitionBy("file").orderBy(F.desc("score"), "name", "id")
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 

@@ -54,3 +54,12 @@ def test_orders_without_an_intent_or_a_fill(spark):
     fills = spark.createDataFrame([(1, 1.5), (1, 0.5), (3, 1.0), (4, 1.0)], "order_id long, lots double")
     got = {r["order_id"]: r["status"] for r in compare.reconcile(intents, fills).collect()}
     assert got == {1: "matched", 2: "no_fill", 3: "no_intent", 4: "lots_differ"}
+
+
+def test_equal_scores_and_names_go_by_id(spark):
+    rows = [(i, "bolt", "f", "AB"[i % 2], 9.0) for i in range(40)]
+    want = [(i, i + 1) for i in range(5)]
+    for order in (rows, rows[::-1], rows[7:] + rows[:7]):
+        df = spark.createDataFrame(order, "id long, name string, file string, tokens string, score double").repartition(3)
+        top = records.top_per_file(df, 5)
+        assert sorted((r["id"], r["place"]) for r in top.collect()) == want
