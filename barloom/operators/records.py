@@ -33,8 +33,8 @@ def top_per_file(rows: DataFrame, k: int) -> DataFrame:
 
 
 def distinct_members(rows: DataFrame) -> DataFrame:
-    """One row per token string over all files: that of the first file, then of the best place."""
-    w = Window.partitionBy("tokens").orderBy("file", "place", "name")
+    """One row per token string over all files: that of the first file, then of the best place, then of the smallest name and id."""
+    w = Window.partitionBy("tokens").orderBy("file", "place", "name", "id")
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 

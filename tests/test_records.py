@@ -63,3 +63,4 @@ def test_equal_scores_and_names_go_by_id(spark):
         df = spark.createDataFrame(order, "id long, name string, file string, tokens string, score double").repartition(3)
         top = records.top_per_file(df, 5)
         assert sorted((r["id"], r["place"]) for r in top.collect()) == want
+        assert sorted((r["tokens"], r["place"], r["id"]) for r in records.distinct_members(top).collect()) == [("A", 1, 0), ("B", 2, 1)]
