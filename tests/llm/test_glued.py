@@ -1,5 +1,6 @@
 """op7 on texts that one boilerplate passage glues into a single candidate component of many chunks."""
 
+import os
 import random
 from collections import Counter
 
@@ -86,3 +87,11 @@ def test_steps_are_removed_once_done(spark):
     assert os.path.isdir(path)
     common.let_go(spark, step)
     assert not os.path.exists(path)
+
+
+def test_finished_steps_leave_no_files(spark):
+    shared = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
+    jaccard.keep_one(spark.createDataFrame(corpus(60), DOCS)).collect()
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(shared)) - before}
+    assert left <= {"edges", "jaccard-named", "jaccard-rest"}
